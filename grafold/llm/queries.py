@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from grafold.llm.jaccard_join import op1_jaccard_join
+from grafold.llm.line_dedup import OP2_SQL, op2_line_dedup
+from grafold.llm.piece_codec import op6_piece_codec
 
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op2_line_dedup": op2_line_dedup,
+    "op6_piece_codec": op6_piece_codec,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL}
