@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from grafold.llm.chat_format import OP5_SQL, op5_chat_format
 from grafold.llm.jaccard_join import op1_jaccard_join
+from grafold.llm.language_id import op10_language_id
 from grafold.llm.line_dedup import OP2_SQL, op2_line_dedup
 from grafold.llm.piece_codec import op6_piece_codec
+from grafold.llm.pseudonyms import op4_pseudonyms
+from grafold.llm.token_counts import op9_token_counts
 
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_line_dedup": op2_line_dedup,
+    "op4_pseudonyms": op4_pseudonyms,
+    "op5_chat_format": op5_chat_format,
     "op6_piece_codec": op6_piece_codec,
+    "op9_token_counts": op9_token_counts,
+    "op10_language_id": op10_language_id,
 }
-ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL}
+ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op5_chat_format": OP5_SQL}
