@@ -33,7 +33,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grafold.llm import textwords as T
@@ -42,6 +42,8 @@ from grafold.llm.components import components, cut
 BAND, SLACK, DELETABLE = 1.5, 0.1, 2
 #: A tile holds at most about this many documents and shingles of either side.
 TILE_DOCS, TILE_SHINGLES = 512, 1 << 19
+#: Classes of equal sets that a task remembers to sign them once.
+SEEN_CLASSES = 200_000
 _INDEX, _PROBE = 1, 2
 #: Relative cost of a bucket by the number of shingles in the segment.
 _COST = np.array([4000, 400, 40, 8, 4, 3, 2, 1])
@@ -179,12 +181,17 @@ def _sizes(k: int):
 
 def _signed(k: int, plan: Plan):
     def run(batches):
+        seen: set[int] = set()
         for _, w in _batches(batches, "text"):
             doc, h, n = T.shingle_sets(w, k)
             of = T.distinct_hash(doc, h, w.n_docs).view(np.int64)
-            # Copies in one chunk count once.
+            # Copies within a task count once (as far as a bounded memory goes; more of them do no harm).
             first = np.zeros(w.n_docs, bool)
             first[np.unique(of, return_index=True)[1]] = True
+            first &= np.array([x not in seen for x in of.tolist()], bool)
+            if len(seen) > SEEN_CLASSES:
+                seen.clear()
+            seen.update(of.tolist())
             mine = first[doc]
             rows, sig, role = signatures(plan, doc[mine], h[mine], np.where(first, n, 0))
             yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(of[rows]), pa.array(role.astype(np.int8))], ["sig", "set_id", "role"])
@@ -278,12 +285,12 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) ->
     sized = cut(sized.groupBy("doc_id").agg(F.max(F.struct("n_shingles", "set_id")).alias("s")).select("doc_id", "s.*"))
     classes = cut(sized.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max("n_shingles").alias("n")))
 
-    rows = docs.mapInArrow(_signed(k, plan), "sig long, set_id long, role byte").repartition("sig")
-    member = lambda bit: F.when(F.col("role").bitwiseAND(bit) > 0, F.col("set_id"))
-    buckets = rows.groupBy("sig").agg(F.min(member(_INDEX)).alias("held"), F.min(member(_PROBE)).alias("asks"), F.min("set_id").alias("lo"), F.max("set_id").alias("hi"))
-    buckets = buckets.where("lo <> hi and held is not null and asks is not null").select("sig", "held", "asks")
-    stars = rows.join(buckets, "sig").select("set_id", F.explode(F.array(F.when(F.col("role").bitwiseAND(_PROBE) > 0, F.col("held")), F.when(F.col("role").bitwiseAND(_INDEX) > 0, F.col("asks")))).alias("to"))
-    stars = stars.where("to <> set_id").select(F.col("set_id").alias("a"), F.col("to").alias("b")).distinct()
+    rows = docs.mapInArrow(_signed(k, plan), "sig long, set_id long, role byte")
+    bucket = Window.partitionBy("sig")
+    of = lambda bit: F.col("role").bitwiseAND(bit) > 0
+    rows = rows.withColumns({"held": F.min(F.when(of(_INDEX), F.col("set_id"))).over(bucket), "asks": F.min(F.when(of(_PROBE), F.col("set_id"))).over(bucket)})
+    stars = rows.where("held is not null and asks is not null").select("set_id", F.explode(F.array(F.when(of(_PROBE), F.col("held")), F.when(of(_INDEX), F.col("asks")))).alias("to"))
+    stars = cut(stars.where("to <> set_id").select(F.col("set_id").alias("a"), F.col("to").alias("b")).distinct())
     maybe = components(stars).select(F.col("id").alias("set_id"), F.col("root").alias("pool"))
 
     # Tiles: by size class (a partner is in the same class or the next), then by hash.
