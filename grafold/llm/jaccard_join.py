@@ -33,6 +33,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -215,7 +216,7 @@ def _verify(plan: Plan):
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         if table.num_rows > 1:
-            table = table.take(pa.compute.sort_indices(table, [("set_id", "ascending")]))
+            table = table.take(pc.sort_indices(table, [("set_id", "ascending")]))
         ids, side = table["set_id"].to_numpy(), table["side"].to_numpy()
         copies = table["copies"].to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in table["tokens"].to_pylist()]

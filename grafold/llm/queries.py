@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from grafold.llm.additive_ann import op7_additive_ann
 from grafold.llm.chat_format import OP5_SQL, op5_chat_format
+from grafold.llm.decontaminate import op3_decontaminate
 from grafold.llm.jaccard_join import op1_jaccard_join
 from grafold.llm.language_id import op10_language_id
 from grafold.llm.line_dedup import OP2_SQL, op2_line_dedup
@@ -13,9 +15,11 @@ from grafold.llm.token_counts import op9_token_counts
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_line_dedup": op2_line_dedup,
+    "op3_decontaminate": op3_decontaminate,
     "op4_pseudonyms": op4_pseudonyms,
     "op5_chat_format": op5_chat_format,
     "op6_piece_codec": op6_piece_codec,
+    "op7_additive_ann": op7_additive_ann,
     "op9_token_counts": op9_token_counts,
     "op10_language_id": op10_language_id,
 }

@@ -27,6 +27,9 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += np.uint64(32)
 _LOWER += np.uint64(1)  # so that NUL bytes count
+#: For loose words, every ASCII byte but letters and digits parts words.
+_LOOSE = np.zeros(256, dtype=bool)
+_LOOSE[:128] = [not chr(i).isalnum() for i in range(128)]
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -86,13 +89,25 @@ def spans(texts: pa.Array, chunk_bytes: int = CHUNK_BYTES, chunk_docs: int = CHU
         first = last
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> Words:
-    """Words and their hashes of the documents data[offsets[i]:offsets[i + 1]]."""
+def _folded(data: np.ndarray) -> np.ndarray:
+    """UTF-8 with the Latin-1 capitals (U+00C0 to U+00DE) in lower case."""
+    at = np.flatnonzero(data[:-1] == 0xC3) + 1
+    at = at[(data[at] >= 0x80) & (data[at] <= 0x9E) & (data[at] != 0x97)]
+    out = data.copy()
+    out[at] += 0x20
+    return out
+
+
+def words(data: np.ndarray, offsets: np.ndarray, loose: bool = False) -> Words:
+    """Words and their hashes of the documents data[offsets[i]:offsets[i + 1]]. Loose words are parted by
+    ASCII punctuation too and have Latin-1 capitals folded."""
     n_docs = len(offsets) - 1
     if not len(data):
         none = np.zeros(0, np.int64)
         return Words(n_docs, none, none.astype(np.uint64), none, none, data)
-    inner = ~_SPACE[data]
+    if loose:
+        data = _folded(data)
+    inner = ~(_LOOSE if loose else _SPACE)[data]
     begins = inner.copy()
     begins[1:] &= ~inner[:-1]
     ends = inner.copy()
