@@ -8,6 +8,7 @@ from grafold.llm.decontaminate import op3_decontaminate
 from grafold.llm.jaccard_join import op1_jaccard_join
 from grafold.llm.language_id import op10_language_id
 from grafold.llm.line_dedup import OP2_SQL, op2_line_dedup
+from grafold.llm.passage_dedup import op8_passage_dedup
 from grafold.llm.piece_codec import op6_piece_codec
 from grafold.llm.pseudonyms import op4_pseudonyms
 from grafold.llm.token_counts import op9_token_counts
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_chat_format": op5_chat_format,
     "op6_piece_codec": op6_piece_codec,
     "op7_additive_ann": op7_additive_ann,
+    "op8_passage_dedup": op8_passage_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_language_id": op10_language_id,
 }
