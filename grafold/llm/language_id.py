@@ -245,6 +245,16 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     return docs.mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, model: Model | None, min_score: float) -> DataFrame:
+    """The rows whose text has a recognised language of at least this probability, with all their columns.
+    The text goes through the classifier beside its row, so nothing is joined."""
+    names = docs.columns
+    kind = ", ".join(f"`{c}`: {docs.schema[c].dataType.simpleString()}" for c in names)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("text").cast("string").alias("text"))
+    judged = rows.mapInArrow(_predict(model), f"row struct<{kind}>, lang_pred string, score double")
+    return judged.where((F.col("lang_pred") != UND) & (F.col("score") >= min_score)).select("row.*")
+
+
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return predict(docs, train(docs))

@@ -13,6 +13,15 @@ from grafold.llm.piece_codec import op6_piece_codec
 from grafold.llm.pseudonyms import op4_pseudonyms
 from grafold.llm.token_counts import op9_token_counts
 
+
+
+def pipeline(spark, sf_dir: str):
+    """All rows of the corpus pipeline, which stands at the top of the repository."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_line_dedup": op2_line_dedup,
@@ -24,5 +33,6 @@ QUERIES = {
     "op8_passage_dedup": op8_passage_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_language_id": op10_language_id,
+    "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op5_chat_format": OP5_SQL}
