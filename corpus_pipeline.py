@@ -19,13 +19,10 @@ from pyspark.sql import functions as F
 
 from grafold.llm import decontaminate, jaccard_join, language_id, line_dedup, piece_codec
 
-#: A prediction below this probability is a rejection, like no letters at all.
-MIN_SCORE = 0.35
-
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language is not recognised."""
-    return language_id.accepted(docs, language_id.train(docs), MIN_SCORE)
+    """Drops documents without letters and those that look like no language more than like another."""
+    return language_id.accepted(docs, language_id.train(docs))
 
 
 def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grafold.llm import textwords as T
-from grafold.llm.components import components, cut
+from grafold.operators.components import components, cut
 
 BAND, SLACK, DELETABLE = 1.5, 0.1, 2
 #: A tile holds at most about this many documents and shingles of either side.

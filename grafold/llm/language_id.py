@@ -31,6 +31,8 @@ BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
 PER_LANG, MAX_LANGS, SAMPLE_DOCS, EPOCHS = 400, 200, 8000, 3
 UND = "und"
+#: A best probability below this multiple of chance is no recognition.
+MARGIN = 1.05
 _ORDERS = (1, 2, 3)
 _letters: list[np.ndarray] = []
 
@@ -245,14 +247,16 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     return docs.mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def accepted(docs: DataFrame, model: Model | None, min_score: float) -> DataFrame:
-    """The rows whose text has a recognised language of at least this probability, with all their columns.
-    The text goes through the classifier beside its row, so nothing is joined."""
+def accepted(docs: DataFrame, model: Model | None, margin: float = MARGIN) -> DataFrame:
+    """The rows whose text has letters and a language whose probability is more than chance, that is
+    ``margin`` / number of languages, with all their columns; none without a model. The text goes through
+    the classifier beside its row, so nothing is joined."""
+    least = min(1.0, margin / max(1, len(model.langs))) if model else 1.0
     names = docs.columns
     kind = ", ".join(f"`{c}`: {docs.schema[c].dataType.simpleString()}" for c in names)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("text").cast("string").alias("text"))
     judged = rows.mapInArrow(_predict(model), f"row struct<{kind}>, lang_pred string, score double")
-    return judged.where((F.col("lang_pred") != UND) & (F.col("score") >= min_score)).select("row.*")
+    return judged.where((F.col("lang_pred") != UND) & (F.col("score") >= least)).select("row.*")
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grafold.llm.components import cut
+from grafold.operators.components import cut
 
 MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 40, 5, 4, 4
 _WHITE = b" \t\n\x0b\x0c\r"
@@ -152,20 +152,18 @@ def _drops(docs: DataFrame, min_chars: int, min_docs: int, batches: int) -> Data
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, digest: bool = False) -> DataFrame:
     """docs(doc_id, text, ...) -> its columns with text rewritten, and n_lines, n_dropped; with ``digest``
     (doc_id, n_lines, n_dropped, kept_sha256) instead."""
-    base = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
-    gone = _drops(base.select("doc_id", "text"), min_chars, min_docs, batches)
-    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    gone = gone.withColumnRenamed("doc_id", "_of")
-    if digest:
-        base = base.select("doc_id", "text")
-    joined = base.join(gone, key == F.col("_of"), "left").drop("_of")
-    names = [c for c in base.columns if c != "text"]
-    fields = ", ".join(f"`{c}` {base.schema[c].dataType.simpleString()}" for c in names)
-    out = joined.select(*names, "text", "gone").mapInArrow(_rewrite(min_chars, digest), f"{fields}, n_lines long, n_dropped long, kept string")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    row = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in rest if not digest)).alias("row")  # names inside cannot clash
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row)
+    gone = _drops(base.select("doc_id", "text"), min_chars, min_docs, batches).withColumnRenamed("doc_id", "of")
+    joined = base.join(gone, F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))) == F.col("of"), "left").select("doc_id", "row", "text", "gone")
+    inner = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in base.schema["row"].dataType)
+    out = joined.mapInArrow(_rewrite(min_chars, digest), f"doc_id long, row struct<{inner}>, n_lines long, n_dropped long, kept string")
     if digest:
         return out.select("doc_id", "n_lines", "n_dropped", F.col("kept").alias("kept_sha256"))
-    extra = [c for c in ("n_lines", "n_dropped") if c not in base.columns]
-    return out.select(*(F.col("kept").alias("text") if c == "text" else F.col(c) for c in base.columns), *extra)
+    named = {"doc_id": F.col("doc_id"), "text": F.col("kept").alias("text")}
+    extra = [c for c in ("n_lines", "n_dropped") if c not in docs.columns]
+    return out.select(*(named.get(c, F.col(f"row.`{c}`")) for c in docs.columns), *extra)
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
