@@ -298,10 +298,10 @@ def coreset_weights(spark, sf):
     return _r(_core(spark, sf)["core"].drop("label"), "weight")
 
 
-@query(SAMPLER + f"SELECT trial, i, j, round(weight * (wi / di) * (wj / dj), 6) AS a FROM inner_edges UNION ALL SELECT trial, ord, ord, round({SIGMA} * weight * weight / degree, 4) FROM core")
+@query(SAMPLER + f"SELECT trial, i, j, round(weight * (wi / di) * (wj / dj), 6) AS a FROM inner_edges UNION ALL SELECT trial, ord, ord, round({SIGMA} * weight * weight / degree, 1) FROM core")
 def coreset_graph(spark, sf):
     x = _core(spark, sf)
-    return coreset.coreset_graph(x["core"], x["g"], SIGMA).withColumn("a", F.when(F.col("i") == F.col("j"), F.round("a", 4)).otherwise(F.round("a", 6)))
+    return coreset.coreset_graph(x["core"], x["g"], SIGMA).withColumn("a", F.when(F.col("i") == F.col("j"), F.round("a", 1)).otherwise(F.round("a", 6)))
 
 
 @query(SAMPLER + "SELECT trial, label, round(denom, 6) AS denom, round(norm, 12) AS norm FROM centers")
