@@ -455,7 +455,23 @@ def pair_average_precision(spark, sf):
     return _r(metrics.average_precision(_truth(spark, sf)), "average_precision", digits=9)
 
 
-@query()
+_BALANCED = (
+    LABELLED
+    + f"""
+, own AS (SELECT node, label, row_number() OVER (PARTITION BY label ORDER BY {_h("'11'", "'order'", "node")}, node) - 1 AS k FROM l WHERE trial = 0
+), sizes AS (SELECT label, count(*) AS size FROM own GROUP BY 1
+), big AS (SELECT *, row_number() OVER (ORDER BY label) - 1 AS pos, count(*) OVER () AS labels FROM sizes WHERE size >= 2
+), every AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY label) - 1 AS pos, count(*) OVER () AS labels FROM sizes) WHERE labels >= 2
+), d AS (SELECT pair, {_u("'11'", "'a'", "pair")} AS a, {_u("'11'", "'b'", "pair")} AS b, {_u("'11'", "'x'", "pair")} AS x, {_u("'11'", "'y'", "pair")} AS y FROM range(1000) r(pair)
+), same AS (SELECT pair, 1 AS truth, label AS l1, floor(x * size) AS i, label AS l2, floor(y * (size - 1)) + CASE WHEN floor(y * (size - 1)) >= floor(x * size) THEN 1 ELSE 0 END AS j FROM d JOIN big ON pos = floor(a * labels) WHERE pair < 500
+), one AS (SELECT pair, label AS l1, floor(x * size) AS i, y, floor(b * (labels - 1)) + CASE WHEN floor(b * (labels - 1)) >= pos THEN 1 ELSE 0 END AS at2 FROM d JOIN every ON pos = floor(a * labels) WHERE pair >= 500
+), drawn AS (SELECT * FROM same UNION ALL SELECT pair, 0, l1, i, e.label, floor(y * e.size) FROM one JOIN every e ON e.pos = at2)
+SELECT CAST(pair AS INTEGER) AS pair, p.node AS u, q.node AS v, truth FROM drawn JOIN own p ON p.label = l1 AND p.k = i JOIN own q ON q.label = l2 AND q.k = j
+"""
+)
+
+
+@query(_BALANCED)
 def balanced_pairs(spark, sf):
     _, labels, _ = _labelled(spark, sf)
     return metrics.balanced_pairs(labels.where("trial = 0").select("node", "label"), 1000, 11)
