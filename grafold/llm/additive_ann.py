@@ -2,8 +2,8 @@
 
 A vector (scaled to length 1) is approximated by a sum of ``BOOKS`` codewords, one from each codebook;
 all codewords have the full dimension. Codebooks start as k-means of successive residuals and are
-refined by turns: beam-search encoding of a bounded sample, then least squares for all codewords at
-once. Every row is encoded by beam search and stored with its codes and the squared norm of its
+refined by turns: beam-search encoding of a bounded sample, then least squares for the codewords, in
+sweeps over the codebooks. Every row is encoded by beam search and stored with its codes and the squared norm of its
 approximation. A query scores rows by table look-ups, 2 <q, x~> - |x~|**2 being a sum of one table entry
 per code less the stored norm; each task reranks its best ``RERANK`` rows of each batch by exact cosine
 on the original vectors and returns its best few, which are merged.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from grafold.operators.components import cut
 
 #: Two bits for each of 64 dimensions, which even vectors without any structure need for a recall of 0.9.
-BOOKS, WORDS, BEAM, TRAIN_ROWS, REFINE, RIDGE = 16, 256, 4, 8192, 1, 0.05
+BOOKS, WORDS, BEAM, TRAIN_ROWS, REFINE, RIDGE, SWEEPS = 16, 256, 4, 8192, 1, 0.05, 8
 #: Rows reranked of each batch of BATCH, for each query; queries of a block.
 RERANK, BATCH, QUERY_BLOCK = 192, 8192, 2048
 
@@ -104,17 +104,16 @@ class Quantiser:
         out = cls(np.stack(found))
         for _ in range(refine):
             codes = out.encode(x)[0].astype(np.int64)
-            gram = np.zeros((books, words, books, words))
-            for i in range(books):
+            fitted = out.books.astype(np.float64)
+            rest = x - sum(fitted[j][codes[:, j]] for j in range(books))
+            for _ in range(SWEEPS):  # Gauss-Seidel sweeps of the least-squares system, one codebook at a time
                 for j in range(books):
-                    gram[i, :, j] = np.bincount(codes[:, i] * words + codes[:, j], minlength=words * words).reshape(words, words)
-            gram = gram.reshape(books * words, books * words)
-            gram[np.diag_indices_from(gram)] += RIDGE
-            right = RIDGE * out.books.astype(np.float64)
-            for j in range(books):
-                np.add.at(right[j], codes[:, j], x)
-            fitted = np.linalg.solve(gram, right.reshape(books * words, -1))
-            out = cls(fitted.reshape(books, words, -1))
+                    rest += fitted[j][codes[:, j]]
+                    total = RIDGE * out.books[j].astype(np.float64)
+                    np.add.at(total, codes[:, j], rest)
+                    fitted[j] = total / (np.bincount(codes[:, j], minlength=words) + RIDGE)[:, None]
+                    rest -= fitted[j][codes[:, j]]
+            out = cls(fitted)
         return out
 
 
