@@ -12,7 +12,8 @@ shipped to all tasks and the documents go through once a block, whole. An item s
 ``MIN_MATCH`` words must occur entirely.
 
 Results on odd input: null or empty texts and items without words match nothing; repeated documents
-each match (one result for a doc_id and item, the best); repeated items are items; extra columns are
+each match (one result for a doc_id and item, the best; rows of null doc_id are one document); items
+without item_id or text are left out, repeated ones are items; extra columns are
 ignored by ``contamination`` and kept by ``clean``; an empty table on either side gives no matches.
 """
 
@@ -144,10 +145,9 @@ def _match(ix: dict, threshold: float):
                             rows.append((int(d[a]), int(i[a]), covered, int(whole), len(found), max(x[2] for x in found), [x[1] for x in found] != sorted(x[1] for x in found)))
                 for i, s in short:
                     rows += [(int(x), i, len(s), len(s), 1, len(s), False) for x in _whole(w, s)]
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "doc_id": pa.array([ids[r[0]] for r in rows], pa.int64(), from_pandas=True),
+                        "doc_id": part.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64())),
                         "item_id": pa.array([ix["ids"][r[1]] for r in rows], pa.int64()),
                         "covered": pa.array([r[2] for r in rows], pa.int64()),
                         "item_words": pa.array([r[3] for r in rows], pa.int64()),
@@ -206,7 +206,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least: int = MIN_MATCH) -> DataFrame:
     """The documents that hold no benchmark item, with all their columns."""
     dirty = contamination(docs, benchmark, threshold, least).select(F.col("doc_id").alias("_dirty")).distinct()
-    return docs.join(dirty, F.col("doc_id").cast("long") == F.col("_dirty"), "left_anti")
+    return docs.join(dirty, F.col("doc_id").cast("long").eqNullSafe(F.col("_dirty")), "left_anti")
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -23,13 +23,13 @@ Equal sets meet by their hash before all this: a class counts once, however many
 
 Results on odd input: null text or text without words has n_shingles 0 and is linked with nothing; a
 text with fewer than k words is one shingle; repeated rows of one doc_id count as one document (the
-one of most shingles, then of the largest hash); extra columns are ignored; an empty table gives an empty result.
+one of most shingles, then of the largest hash), rows of null doc_id as one that only its copies link;
+extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
