@@ -102,11 +102,16 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
     hist = hist.withColumns({"block": F.floor(F.col("n_tokens") / BLOCK), "tokens": F.col("n_tokens") * F.col("n_docs")})
     blocks = hist.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     later = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)  # over blocks alone
-    all_of = blocks.select("block", F.coalesce(F.sum("d").over(later), F.lit(0)).alias("d_after"), F.coalesce(F.sum("t").over(later), F.lit(0)).alias("t_after"))
-    total = blocks.agg(F.sum("d").alias("all_docs"), F.sum("t").alias("all_tokens"))
+    every = Window.partitionBy()
+    all_of = blocks.select(
+        "block",
+        F.coalesce(F.sum("d").over(later), F.lit(0)).alias("d_after"),
+        F.coalesce(F.sum("t").over(later), F.lit(0)).alias("t_after"),
+        F.sum("d").over(every).alias("all_docs"),
+        F.sum("t").over(every).alias("all_tokens"),
+    )
     within = Window.partitionBy("block").orderBy(F.desc("n_tokens")).rowsBetween(Window.unboundedPreceding, 0)
     out = hist.join(all_of, "block").withColumns({"docs_at_least": F.sum("n_docs").over(within) + F.col("d_after"), "tokens_at_least": F.sum("tokens").over(within) + F.col("t_after")})
-    out = out.join(F.broadcast(total))  # one row
     return out.select(
         "n_tokens",
         "n_docs",
