@@ -163,6 +163,55 @@ def test_passages(spark):
     assert passage_dedup.repeated_passages(df.limit(0)).count() == 0
 
 
+def _holds_passage(a, b, least=46, most=58):
+    """Whether some window of each has a Jaccard similarity of 0.8 or more, by trying all."""
+    for i in range(len(a) - least + 1):
+        for end in range(i + least, min(i + most, len(a)) + 1):
+            x = set(a[i:end].tolist())
+            for j in range(len(b) - least + 1):
+                for stop in range(j + least, min(j + most, len(b)) + 1):
+                    y = set(b[j:stop].tolist())
+                    if len(x & y) * 10 >= len(x | y) * 8:
+                        return True
+    return False
+
+
+def _verified(a, b):
+    order = np.argsort(b, kind="stable")
+    return passage_dedup.common_passages(a, b, b[order], order, 46, 8, 10)
+
+
+def test_passage_inside_a_weak_chain():
+    a = np.arange(1, 151, dtype=np.uint64)
+    b = a + np.uint64(1000)
+    for at, n in ((0, 30), (35, 30), (80, 1)):
+        b[at : at + n] = a[at : at + n]
+    assert [p[:4] for p in _verified(a, b)] == [(0, 65, 0, 65)]
+
+
+def test_uneven_edits_against_all_windows():
+    rng = np.random.default_rng(4)
+    fresh = lambda n: rng.integers(0, 1 << 60, n).astype(np.uint64)
+    outcomes = set()
+    for case in range(24):
+        base = fresh(50)
+        near = base.copy()
+        for _ in range(case % 4):
+            at, n = rng.integers(0, 48), int(rng.integers(1, 6))
+            near[at : at + n] = fresh(len(near[at : at + n]))
+        if case % 5 == 4:
+            near = np.concatenate([near[24:], near[:24]])
+        a, b = np.concatenate([fresh(4), base, fresh(3)]), np.concatenate([fresh(2), near, fresh(4)])
+        b[-1] = base[rng.integers(0, 50)]
+        got = _verified(a, b)
+        for i, n, j, m, s in got:
+            x, y = set(a[i : i + n].tolist()), set(b[j : j + m].tolist())
+            assert min(n, m) >= 46 and s >= 0.8 and abs(len(x & y) / len(x | y) - s) < 1e-9
+        assert bool(got) == _holds_passage(a, b)
+        outcomes.add(bool(got))
+    assert outcomes == {True, False}
+
+
 def test_long_document_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(passage_dedup, "BLOCK", 512)
     monkeypatch.setattr(passage_dedup, "OVERLAP", 128)
