@@ -212,6 +212,28 @@ def test_uneven_edits_against_all_windows():
     assert outcomes == {True, False}
 
 
+def test_recall_of_near_copies_and_of_repeats_with_shared_phrases(spark):
+    rng = random.Random(12)
+    fresh = lambda n: ["w%d" % rng.randrange(10**7) for _ in range(n)]
+    docs, near, exact = [], [], []
+    for i in range(150):  # similarity 41 / 51
+        passage = fresh(50)
+        changed = list(passage)
+        changed[rng.randrange(10, 40)] = "changed%d" % i
+        near.append((len(docs), len(docs) + 1))
+        docs += [fresh(20) + passage + fresh(20), fresh(9) + changed + fresh(30)]
+    for _ in range(60):  # half of the passage in documents before, between and after
+        passage = fresh(52)
+        phrases = [passage[:13], passage[26:39]]
+        at = len(docs)
+        exact.append((at + 4, at + 9))
+        docs += [fresh(10) + (passage if x in (4, 9) else phrases[x % 2]) + fresh(10) for x in range(12)]
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string").repartition(4)
+    pairs = {(r["doc_id"], r["match_doc_id"]) for r in passage_dedup.repeated_passages(df).collect()}
+    assert all(p in pairs for p in exact)
+    assert sum(p not in pairs for p in near) <= 2
+
+
 def test_long_document_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(passage_dedup, "BLOCK", 512)
     monkeypatch.setattr(passage_dedup, "OVERLAP", 128)
