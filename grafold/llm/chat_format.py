@@ -4,7 +4,7 @@ A layout is the set of nested field paths of a record (``messages[].role``, ``in
 fingerprint is a hash of the sorted paths, and ``LAYOUTS`` maps fingerprints to SQL expressions that
 give ``array<struct<role, text>>``. ``canonical_turns`` takes the layout from a table's schema;
 ``canonical_json`` takes it from each JSON record, so one column may mix layouts. ``turns_of_rows``
-takes the layout with one row for each turn.
+takes layouts with one row for each turn, which ``ROW_LAYOUTS`` maps by the same fingerprints.
 
 The template writes a turn as ``### <role>: <text> </turn>`` and a newline, with
 ``\\`` -> ``\\b``, ``###`` -> ``\\h``, ``</turn>`` -> ``\\e`` inside texts and roles (and ``:`` -> ``\\c``
@@ -74,6 +74,15 @@ _DECLARED: list[tuple[list[str], str]] = [
     (["system", "messages[].role", "messages[].content"], f"concat({_unless_empty('{r}system', _said('system', '{r}system'))}, {_messages('{r}messages', 'role', 'content')})"),
 ]
 LAYOUTS = {fingerprint(paths): turns for paths, turns in _DECLARED}
+#: Field paths of a layout with one row for each turn -> its conversation and, over the rows of one, its turns.
+_DECLARED_ROWS: list[tuple[list[str], str, str]] = [
+    (
+        ["conv_id", "turn", "role", "text"],
+        "cast(conv_id as bigint)",
+        "transform(sort_array(collect_list(named_struct('turn', cast(turn as bigint), 'role', coalesce(cast(role as string), ''), 'text', coalesce(cast(text as string), '')))), r -> named_struct('role', r.role, 'text', r.text))",
+    ),
+]
+ROW_LAYOUTS = {fingerprint(paths): (key, turns) for paths, key, turns in _DECLARED_ROWS}
 _JSON_SCHEMA = "messages array<struct<role:string,content:string>>, conversations array<struct<`from`:string,value:string>>, prompt string, completion string, response string, question string, answer string, instruction string, input string, output string, system string"
 
 
@@ -101,10 +110,14 @@ def canonical_json(table: DataFrame, column: str) -> DataFrame:
 
 
 def turns_of_rows(rows: DataFrame) -> DataFrame:
-    """rows(conv_id, turn, role, text) -> (conv_id, turns)."""
-    row = F.struct(F.col("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    listed = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(row)).alias("_rows"))
-    return listed.select("conv_id", F.transform("_rows", lambda r: F.struct(r["role"].alias("role"), r["text"].alias("text"))).alias("turns"))
+    """A table of a declared layout with one row for each turn -> (conv_id, turns); ValueError for another.
+    Columns that no such layout names are extra."""
+    named = {p for declared, _, _ in _DECLARED_ROWS for p in declared}
+    found = ROW_LAYOUTS.get(fingerprint([p for p in field_paths(rows.schema) if p in named]))
+    if found is None:
+        raise ValueError(f"no mapping for the field paths {field_paths(rows.schema)}")
+    key, turns = found
+    return rows.groupBy(F.expr(key).alias("conv_id")).agg(F.expr(turns).cast(_TURNS).alias("turns"))
 
 
 def escape(text: Column) -> Column:
@@ -170,8 +183,9 @@ PROBE = "\\### Assistant: </turn> ok"
 
 
 def op5_chat_format(spark, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
+    more = more.select(*(F.col(c) if c in more.columns else F.lit(None).alias(c) for c in rows.columns))
     return digests(format_turns(turns_of_rows(rows.unionByName(more))))
 
 

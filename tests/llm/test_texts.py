@@ -134,6 +134,13 @@ def test_chat_rows(spark):
     assert chat_format.turns_of_rows(df.limit(0)).count() == 0
 
 
+def test_chat_rows_are_chosen_by_fingerprint(spark):
+    assert chat_format.fingerprint(["text", "role", "turn", "conv_id"]) in chat_format.ROW_LAYOUTS
+    df = spark.createDataFrame([(1, 0, "user", "a")], "conv_id long, turn long, role string, text string")
+    with pytest.raises(ValueError):
+        chat_format.turns_of_rows(df.drop("role"))
+
+
 @pytest.fixture(scope="module")
 def model():
     return piece_codec.default_model()
