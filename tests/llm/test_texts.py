@@ -1,9 +1,11 @@
 """Operators on single texts: tiling, pseudonyms, chat formats, pieces, token counts, language."""
 
+import hashlib
 import json
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -166,8 +168,11 @@ def test_pieces_table(spark, model, odd_docs, odd_texts):
     got = {r["doc_id"]: r["ids"] for r in encoded.collect()}
     assert all(got[i] == sp.encode(t or "", add_bos=True, add_eos=True) for i, t in odd_texts)
     back = {r["doc_id"]: r["text"] for r in piece_codec.decode(encoded, model).collect()}
-    digests = {r["doc_id"]: r["n_tokens"] for r in piece_codec.encode_digests(odd_docs, model).collect()}
-    assert all(back[i] == sp.decode(got[i]) and digests[i] == len(got[i]) for i, _ in odd_texts)
+    assert all(back[i] == sp.decode(got[i]) for i, _ in odd_texts)
+    sha = lambda raw: hashlib.sha256(raw).hexdigest()
+    for r in piece_codec.encode_digests(odd_docs, model).collect():
+        ids = sp.encode(odd_texts[r["doc_id"]][1] or "", add_bos=True, add_eos=True)
+        assert tuple(r)[1:] == (len(ids), sha(np.array(ids, "<u4").tobytes()), sha(sp.decode(ids).encode()))
     assert piece_codec.encode_digests(odd_docs.limit(0), model).count() == 0
 
 
@@ -221,7 +226,82 @@ def test_language_scores_of_blocks_equal_whole():
     long = "kaRo 1 schu " * 100_000  # more than one block
     whole = np.zeros((1, 2))
     n = np.zeros(1, np.int64)
-    model._add(long, whole, n, 0, 0)
+    model._add(model.weights, long, whole, n, 0, 0)
     assert np.allclose(model.score([long])[0], model.probabilities(whole, n), atol=1e-6)
     one, many = model.score([texts[0]])[0], model.score(["", texts[0], "x"])[0]
     assert np.allclose(one[0], many[1])
+
+
+def test_texts_of_no_learned_language_are_rejected(spark):
+    rng = random.Random(7)
+    tongues = {"aa": ["ka", "ro", "mi", "tel"], "bb": ["schu", "ge", "lich", "ung"], "cc": ["que", "ci", "del", "os"]}
+    rows = [(i, _language(rng, tongues[x], rng.choice([10, 40, 80])), x) for i in range(400) for x in [rng.choice(list(tongues))]]
+    junk = ["".join(rng.choice("bcdfghjkpqvwxyzаж") for _ in range(rng.randrange(1, 9))) for _ in range(900)]
+    odd = [(1000 + i, " ".join(junk[30 * i : 30 * i + 30]), None) for i in range(30)]  # no language at all
+    odd += [(2000 + i, _language(rng, ["ный", "ого", "пре", "ста"], 30), None) for i in range(30)]  # a language without labels
+    df = spark.createDataFrame([*rows, *odd], "doc_id long, text string, lang string").repartition(3)
+    model = language_id.train(df)
+    assert model.least_known > 0.5 and model.least_score > 1 / 3
+    kept = {r["doc_id"] for r in language_id.accepted(df, model).collect()}
+    assert not [i for i in kept if i >= 1000] and len(kept) >= 395
+
+
+def test_every_language_is_learned(spark):
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    tongues = {f"l{i:03d}": ["".join(rng.choices(letters, k=3)) for _ in range(4)] for i in range(230)}
+    rows = [(j * 1000 + i, _language(rng, syllables, 12), lang) for i, (lang, syllables) in enumerate(tongues.items()) for j in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert set(language_id.train(df).langs) == {r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 5}
+
+
+def test_training_against_a_plain_loop():
+    """One weight at a time, by the published update; the temperature of least loss on the held-out rows."""
+    rng = random.Random(4)
+    texts = [_language(rng, s, 6) for _ in range(8) for s in (["ka", "ro"], ["schu", "ro"], ["ka", "ung"])]
+    langs = ["a", "b", "c"] * 8
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.02, 0.01
+    model = language_id.fit(texts, langs, alpha=alpha, beta=beta, l1=l1, l2=l2, epochs=2, seed=3)
+    rows, df, seen = [], {}, {}
+    for t, lang in zip(texts, langs, strict=True):
+        seen[lang] = seen.get(lang, 0) + 1
+        for idx, x in language_id._pieces(t):
+            rows.append((dict(zip(idx.tolist(), x.tolist(), strict=True)), "abc".index(lang), seen[lang] % 5 == 1))
+            if seen[lang] % 5 != 1:
+                for i in idx.tolist():
+                    df[i] = df.get(i, 0) + 1
+    train = [i for i, r in enumerate(rows) if not r[2]]
+    idf = lambda i: math.log((1 + len(train)) / (1 + df.get(i, 0))) + 1
+    z, q = {}, {}
+
+    def weight(i, c):
+        zi, penalty = z.get((i, c), 0.0), 0.0 if i == "bias" else l1
+        return 0.0 if abs(zi) <= penalty else -(zi - math.copysign(penalty, zi)) / ((beta + math.sqrt(q.get((i, c), 0.0))) / alpha + l2)
+
+    order = np.random.default_rng(3)
+    for _ in range(2):
+        for r in order.permutation(train):
+            x = {i: v * idf(i) * 30 for i, v in rows[r][0].items()} | {"bias": 1.0}
+            w = {(i, c): weight(i, c) for i in x for c in range(3)}
+            s = [sum(x[i] * w[i, c] for i in x) for c in range(3)]
+            p = [math.exp(v - max(s)) for v in s]
+            for i in x:
+                for c in range(3):
+                    g = x[i] * (p[c] / sum(p) - (c == rows[r][1]))
+                    old = q.get((i, c), 0.0)
+                    z[i, c] = z.get((i, c), 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / alpha * w[i, c]
+                    q[i, c] = old + g * g
+    for i in df:
+        assert np.allclose(model.weights[i], [weight(i, c) * idf(i) * 30 for c in range(3)], atol=1e-4)
+    assert np.allclose(model.bias, [weight("bias", c) for c in range(3)])
+
+    def loss(t):
+        total = 0.0
+        for x, y, out in rows:
+            if out:
+                s = [(sum(v * model.weights[i, c] for i, v in x.items()) + model.bias[c]) / t for c in range(3)]
+                total += math.log(sum(map(math.exp, s))) - s[y]
+        return total
+
+    grid = np.exp(np.linspace(np.log(0.1), np.log(10), 81))
+    assert loss(model.temperature) <= min(map(loss, grid)) + 1e-6
