@@ -6,10 +6,11 @@ to (length, documents). With the sums over all longer lengths,
     documents of at least L tokens, tokens in them, and sum(min(length, L)) = the total truncated to L
 
 hold for every context limit L, as do exact quantiles. The sums are taken in two levels (blocks of
-lengths, then within a block), so no task sees the whole histogram.
+lengths, then within a block), so no task sees the whole histogram. The histogram is checkpointed (a row
+a length), as both levels read it.
 
 Results on odd input: null or empty text has length 0; special strings are ordinary text; repeated rows
-count each; extra columns are ignored; an empty table gives an empty histogram and an empty report.
+count each; a very long text is encoded whole; extra columns are ignored; an empty table gives an empty histogram and an empty report.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from grafold.operators.components import cut
+
 #: Lengths of one block of the histogram.
 BLOCK = 1024
 _counters: dict[int, Callable[[str | None], int]] = {}
@@ -92,7 +95,7 @@ def lengths(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
 def histogram(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     """docs(text) -> (n_tokens, n_docs), a row for each length that occurs."""
     counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_lengths(ranks, pattern), "n_tokens long, n_docs long")
-    return counted.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    return cut(counted.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")))
 
 
 def suffix_sums(hist: DataFrame) -> DataFrame:
