@@ -45,7 +45,7 @@ def seeded(seed: int) -> np.uint64:
     return mix64(np.array([seed], np.uint64) * _BASE + _K)[0]
 
 
-def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, 0..n."""
     if len(_powers[0]) <= n:
         inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -117,7 +117,7 @@ def words(data: np.ndarray, offsets: np.ndarray, loose: bool = False) -> Words:
     begins[cut] = inner[cut]
     ends[cut - 1] = inner[cut - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    power, inverse = _pow(len(data))
+    power, inverse = powers(len(data))
     prefix = np.empty(len(data) + 1, np.uint64)
     prefix[0] = 0
     np.cumsum(_LOWER[data] * power[: len(data)], out=prefix[1:])

@@ -260,3 +260,83 @@ def test_words_and_sets():
     assert n.tolist() == [2, 0, 1, 1, 1]
     loose = T.words(np.frombuffer("É,b".encode(), np.uint8), np.array([0, 4]), loose=True)
     assert loose.hash.tolist() == T.words(np.frombuffer("é b".encode(), np.uint8), np.array([0, 4])).hash.tolist()
+
+
+def test_every_repeat_shares_a_chosen_run():
+    """Whatever stands around a repeated stretch, and however it repeats itself, both sides choose one run of it."""
+    rng = np.random.default_rng(6)
+    for case in range(200):
+        least = int(rng.integers(6, 50))
+        run = passage_dedup.shared_run(least, 8, 10)
+        assert run * 10 >= (2 * least - run) * 8 and (run - 1) * 10 < (2 * least - run + 1) * 8
+        few = int(rng.choice([1, 2, 3, 8, 10**6]))
+        fresh = lambda n: T.mix64(rng.integers(0, few, n).astype(np.uint64) + np.uint64(case % 7))  # noqa: B023, E731
+        if case % 3 == 0:  # of one period
+            shared = np.tile(fresh(int(rng.integers(1, 9))), 50)[:least]
+        else:
+            shared = fresh(least)
+        parts = [np.concatenate([fresh(int(rng.integers(0, 60))), shared, fresh(int(rng.integers(0, 60)))]) for _ in range(2)]
+        edge = np.cumsum([0, *map(len, parts)])
+        at, key = passage_dedup.chosen_runs(np.concatenate(parts), edge[:-1], edge[1:], least, run)
+        for e in edge[1:]:
+            assert not ((at < e) & (at + run > e)).any()
+        assert set(key[at < edge[1]].tolist()) & set(key[at >= edge[1]].tolist())
+        # One of all least neighbours.
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            for i in range(a, b - least + 1):
+                assert ((at >= i) & (at + run <= i + least)).any()
+
+
+def _slices(rng, n, edits):
+    """Documents that quote slices of 50 to 70 words of one source, between words of their own."""
+    source = ["s%d" % i for i in range(2000)]
+    out = []
+    for i in range(n):
+        at, size = rng.randrange(1930), rng.randrange(50, 71)
+        quoted = source[at : at + size]
+        for _ in range(edits):
+            quoted[rng.randrange(size)] = "e%d" % rng.randrange(10**8)
+        out.append(["o%d" % rng.randrange(10**8) for _ in range(40)] + quoted + ["o%d" % rng.randrange(10**8) for _ in range(40)])
+    return out
+
+
+def test_overlapping_slices_against_all_windows(spark):
+    """Exact repeats: every document that has one is found, and nearly all its repeated windows are covered."""
+    texts = _slices(random.Random(21), 400, 0)
+    held = defaultdict(set)
+    for i, t in enumerate(texts):
+        for j in range(len(t) - 49):
+            held[tuple(t[j : j + 50])].add(i)
+    repeated = {i for docs in held.values() if len(docs) > 1 for i in docs}
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    rows = passage_dedup.repeated_passages(df).collect()
+    found = {r["doc_id"] for r in rows}
+    assert repeated <= found
+    spans = defaultdict(list)
+    for r in rows:
+        spans[r["doc_id"]].append((r["start_word"], r["start_word"] + r["n_words"]))
+    windows = [(i, j) for i in repeated for j in range(len(texts[i]) - 49) if len(held[tuple(texts[i][j : j + 50])]) > 1]
+    covered = sum(any(a <= j and j + 50 <= b for a, b in spans[i]) for i, j in windows)
+    assert covered / len(windows) >= 0.95
+
+
+def test_slices_with_edits_against_all_pairs(spark):
+    texts = _slices(random.Random(22), 150, 1)
+    hashed = [T.shingles(T.words(np.frombuffer(" ".join(t).encode(), np.uint8), np.array([0, len(" ".join(t))])), 5, whole=False)[1] for t in texts]
+    want = set()
+    for i, a in enumerate(hashed):
+        for j in range(i):
+            if len(np.intersect1d(a, hashed[j])) >= 36 and _verified(a, hashed[j]):
+                want |= {i, j}
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    found = {r["doc_id"] for r in passage_dedup.repeated_passages(df).collect()}
+    assert found <= want and len(found) >= 0.9 * len(want) > 40, (len(found), len(want))
+
+
+def test_crowded_chunks_change_no_document(spark, monkeypatch):
+    rng = random.Random(23)
+    texts = [" ".join(t) for t in _slices(rng, 80, 0)] + [" ".join(["c%d" % i for i in range(70)] + ["o%d" % rng.randrange(10**8) for _ in range(30)]) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    one = {r["doc_id"] for r in passage_dedup.repeated_passages(df.coalesce(1)).collect()}
+    many = {r["doc_id"] for r in passage_dedup.repeated_passages(df.repartition(30)).collect()}
+    assert one == many and set(range(80, 200)) <= one
