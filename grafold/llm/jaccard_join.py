@@ -15,11 +15,19 @@ one probes its own band and each lower band that may hold a partner.
   dearest segments (empty, then one or two shingles) are skipped while there is slack, then in
   exchange for a deletion neighbourhood elsewhere when that is cheaper.
 * Equal signatures join. Only stars (member to one opposite member of its bucket) leave a bucket,
-  whatever its size. Their components are a superset of the true ones and are cut to tiles of bounded
-  size by set size and hash; each tile is verified exactly, all against all, as products of 0/1
-  matrices, and returns a spanning forest of its links and each member's number of links.
-
-Equal sets meet by their hash before all this: a class counts once, however many copies it has.
+  whatever its size; a bucket crowded within one chunk of documents is linked there, before the shuffle.
+  Their components are pools, a superset of the true components.
+* A pool of more than one tile, as of pages of one template, is joined once more by a complete filter:
+  two linked sets share one of their first n - ceil(n * num / den) + 1 shingles in any order of all
+  shingles. The order puts the frequent ones last (counted over all sets of such pools), so sets that
+  share a template alone part here. What links remain gives smaller pools.
+* A pool is cut to tiles of bounded size by set size and hash; each tile is verified exactly, all against
+  all, as products of 0/1 matrices, and returns a spanning forest of its links and each member's number
+  of links.
+
+Equal sets meet by their hash before all this: a class counts once, however many copies it has. A
+document of the same 64-bit hash as a class whose second hash differs is no member of it (it stays alone,
+as a few of 10**11 documents would).
 
 Results on odd input: null text or text without words has n_shingles 0 and is linked with nothing; a
 text with fewer than k words is one shingle; repeated rows of one doc_id count as one document (the
@@ -45,6 +53,10 @@ BAND, SLACK, DELETABLE = 1.5, 0.1, 2
 TILE_DOCS, TILE_SHINGLES = 512, 1 << 19
 #: Classes of equal sets that a task remembers to sign them once.
 SEEN_CLASSES = 200_000
+#: Rows of a signature within one chunk that are linked there.
+CROWD = 8
+#: Shingles that are known as frequent, for the order of the second filter (any order gives right results).
+FREQUENT = 1 << 17
 _INDEX, _PROBE = 1, 2
 #: Relative cost of a bucket by the number of shingles in the segment.
 _COST = np.array([4000, 400, 40, 8, 4, 3, 2, 1])
@@ -71,6 +83,10 @@ class Plan:
     def smallest_partner(self, n):
         return -(-n * self.num // self.den)
 
+    def overlap(self, n):
+        """Shingles that a set of size n shares with any linked set."""
+        return -(-n * self.num // self.den)
+
     def _segments(self, b: int) -> int:
         most = self.difference(self.largest_partner(self.starts[b + 1] - 1))
         return 0 if not most else int(most * (1 + SLACK)) + 1 + DELETABLE // 2
@@ -175,7 +191,8 @@ def _sizes(k: int):
     def run(batches):
         for part, w in _batches(batches, "text"):
             doc, h, n = T.shingle_sets(w, k)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(T.distinct_hash(doc, h, w.n_docs).view(np.int64))], ["doc_id", "n_shingles", "set_id"])
+            other = T.distinct_hash(doc, T.mix64(h + T.seeded(78)), w.n_docs)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(T.distinct_hash(doc, h, w.n_docs).view(np.int64)), pa.array(other.view(np.int64))], ["doc_id", "n_shingles", "set_id", "other"])
 
     return run
 
@@ -195,11 +212,84 @@ def _signed(k: int, plan: Plan):
             seen.update(of.tolist())
             mine = first[doc]
             rows, sig, role = signatures(plan, doc[mine], h[mine], np.where(first, n, 0))
-            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(of[rows]), pa.array(role.astype(np.int8))], ["sig", "set_id", "role"])
+            stays, near, far = _crowded(sig, of[rows], role)
+            yield pa.RecordBatch.from_arrays([pa.array(sig[stays].view(np.int64)), pa.array(of[rows][stays]), pa.array(role[stays].astype(np.int8)), pa.nulls(int(stays.sum()), pa.int64())], ["sig", "set_id", "role", "to"])
+            if len(near):
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(near), pa.int64()), pa.array(near), pa.nulls(len(near), pa.int8()), pa.array(far)], ["sig", "set_id", "role", "to"])
+
+    return run
+
+
+def _crowded(sig: np.ndarray, of: np.ndarray, role: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a signature of many rows, one of both roles meets all others whatever comes: (rows that go on,
+    and the links made here, from and to)."""
+    stays = np.ones(len(sig), bool)
+    order = np.lexsort((of, role != _INDEX + _PROBE, sig))
+    begin = np.flatnonzero(np.concatenate([[True], sig[order[1:]] != sig[order[:-1]]])) if len(sig) else order
+    size = np.diff(np.append(begin, len(sig)))
+    lead = np.repeat(order[begin], size)
+    link = (np.repeat(size, size) > CROWD) & (role[lead] == _INDEX + _PROBE) & (order != lead)
+    stays[order[link]] = False
+    pairs = np.unique(np.stack([of[order[link]], of[lead[link]]], axis=1), axis=0)
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+    return stays, pairs[:, 0], pairs[:, 1]
+
+
+def _token_counts(k: int):
+    def run(batches):
+        for _, w in _batches(batches, "text"):
+            _, h, _ = T.shingle_sets(w, k)
+            token, n = np.unique(h, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n, pa.int64())], ["token", "n"])
 
     return run
 
 
+def _prefixes(k: int, plan: Plan, frequent: np.ndarray):
+    """Rows (pool, token, set_id) of the shingles of which linked sets share one, and links (set_id, to) of
+    those that meet within a chunk. ``frequent`` lists shingles by falling number."""
+    by_hash = np.argsort(frequent)
+    held = frequent[by_hash]
+
+    def run(batches):
+        for part, w in _batches(batches, "text"):
+            doc, h, n = T.shingle_sets(w, k)
+            of, pool = T.distinct_hash(doc, h, w.n_docs).view(np.int64), part.column("pool").to_numpy()
+            rank = np.zeros(len(h), np.int64)
+            if len(held):
+                at = np.minimum(np.searchsorted(held, h), len(held) - 1)
+                rank = np.where(held[at] == h, len(held) - by_hash[at], 0)
+            order = np.lexsort((h, rank, doc))
+            first = np.concatenate([[0], np.cumsum(n)])[doc]
+            own = (part.column("set_id").to_numpy() == of)[doc]
+            keep = order[(np.arange(len(h)) - first < (n - plan.overlap(n) + 1)[doc]) & own]
+            d, token = doc[keep], h[keep]
+            order = np.lexsort((of[d], token, pool[d]))
+            d, token = d[order], token[order]
+            begins = np.concatenate([[True], (token[1:] != token[:-1]) | (pool[d[1:]] != pool[d[:-1]])]) if len(d) else np.zeros(0, bool)
+            lead = d[np.flatnonzero(begins)][np.cumsum(begins) - 1] if len(d) else d
+            pairs = np.unique(np.stack([of[d], of[lead]], axis=1), axis=0)
+            pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+            d, token = d[begins], token[begins]
+            none = pa.nulls(len(d), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(pool[d]), pa.array(token.view(np.int64)), pa.array(of[d]), none], ["pool", "token", "set_id", "to"])
+            none = pa.nulls(len(pairs), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["pool", "token", "set_id", "to"])
+
+    return run
+
+
+def _smaller_pools(docs: DataFrame, members: DataFrame, k: int, plan: Plan) -> DataFrame:
+    """members(set_id, pool, doc_id) of large pools -> (set_id, pool): the pools that the second filter leaves."""
+    texts = docs.join(members.select("doc_id", "set_id", "pool"), "doc_id")
+    counts = texts.select("text").mapInArrow(_token_counts(k), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 1")
+    frequent = np.array([r["token"] for r in counts.orderBy(F.desc("n"), "token").limit(FREQUENT).select("token").collect()], np.int64).view(np.uint64)
+    rows = texts.mapInArrow(_prefixes(k, plan, frequent), "pool long, token long, set_id long, to long")
+    rows = rows.withColumn("to", F.coalesce("to", F.min("set_id").over(Window.partitionBy("pool", "token"))))
+    stars = rows.where("to <> set_id").select(F.col("set_id").alias("a"), F.col("to").alias("b")).distinct()
+    return components(cut(stars)).select(F.col("id").alias("set_id"), F.col("root").alias("pool"))
+
+
 def _with_tokens(k: int):
     def run(batches):
         for part, w in _batches(batches, "text"):
@@ -282,21 +372,29 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) ->
     """
     plan = Plan(num, den)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sized = docs.mapInArrow(_sizes(k), "doc_id long, n_shingles long, set_id long")
-    sized = cut(sized.groupBy("doc_id").agg(F.max(F.struct("n_shingles", "set_id")).alias("s")).select("doc_id", "s.*"))
-    classes = cut(sized.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max("n_shingles").alias("n")))
+    sized = docs.mapInArrow(_sizes(k), "doc_id long, n_shingles long, set_id long, other long")
+    sized = cut(sized.groupBy("doc_id").agg(F.max(F.struct("n_shingles", "set_id", "other")).alias("s")).select("doc_id", "s.*"))
+    classes = sized.where("n_shingles > 0").groupBy("set_id").agg(F.min(F.struct("doc_id", "other")).alias("s"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"))
+    classes = cut(classes.select("set_id", "s.doc_id", "s.other", "copies", "n"))
 
-    rows = docs.mapInArrow(_signed(k, plan), "sig long, set_id long, role byte")
+    rows = docs.mapInArrow(_signed(k, plan), "sig long, set_id long, role byte, to long")
     bucket = Window.partitionBy("sig")
     of = lambda bit: F.col("role").bitwiseAND(bit) > 0
-    rows = rows.withColumns({"held": F.min(F.when(of(_INDEX), F.col("set_id"))).over(bucket), "asks": F.min(F.when(of(_PROBE), F.col("set_id"))).over(bucket)})
-    stars = rows.where("held is not null and asks is not null").select("set_id", F.explode(F.array(F.when(of(_PROBE), F.col("held")), F.when(of(_INDEX), F.col("asks")))).alias("to"))
+    met = rows.where("sig is not null").withColumns({"held": F.min(F.when(of(_INDEX), F.col("set_id"))).over(bucket), "asks": F.min(F.when(of(_PROBE), F.col("set_id"))).over(bucket)})
+    met = met.where("held is not null and asks is not null").select("set_id", F.explode(F.array(F.when(of(_PROBE), F.col("held")), F.when(of(_INDEX), F.col("asks")))).alias("to"))
+    stars = met.union(rows.where("sig is null").select("set_id", "to"))
     stars = cut(stars.where("to <> set_id").select(F.col("set_id").alias("a"), F.col("to").alias("b")).distinct())
     maybe = components(stars).select(F.col("id").alias("set_id"), F.col("root").alias("pool"))
+    members = cut(maybe.join(classes, "set_id"))
+    sizes = members.groupBy("pool").agg(((F.count("*") > TILE_DOCS) | (F.sum("n") > TILE_SHINGLES)).alias("large"))
+    large = cut(members.join(sizes.where("large"), "pool", "left_semi"))
+    if not large.isEmpty():
+        parted = _smaller_pools(docs, large, k, plan).join(classes, "set_id")
+        members = cut(members.join(sizes.where("large"), "pool", "left_anti").unionByName(parted))
 
     # Tiles: by size class (a partner is in the same class or the next), then by hash.
     step = np.log(den / num)
-    members = cut(maybe.join(classes, "set_id").withColumn("sc", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(step)) + 1e-9).cast("int")))
+    members = cut(members.drop("other").withColumn("sc", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(step)) + 1e-9).cast("int")))
     blocks = members.groupBy("pool", "sc").agg(F.greatest(F.ceil(F.count("*") / TILE_DOCS), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("nb"), F.count("*").alias("c"), F.sum("n").alias("sn"))
     blocks = cut(blocks)
     small = blocks.groupBy("pool").agg(((F.sum("c") <= TILE_DOCS) & (F.sum("sn") <= TILE_SHINGLES)).alias("small"))
@@ -325,9 +423,9 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) ->
     joined = classes.join(groups.select(F.col("id").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     ids = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     degree = found.groupBy("set_id").agg(F.sum("links").alias("links"))
-    by_class = joined.join(ids, "root").join(degree, "set_id", "left").select("set_id", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    by_class = joined.join(ids, "root").join(degree, "set_id", "left").select("set_id", F.col("other").alias("same"), "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = sized.join(by_class, "set_id", "left")
-    lone = F.col("n_shingles") == 0
+    lone = (F.col("n_shingles") == 0) | (F.col("other") != F.col("same"))
     return out.select("doc_id", "n_shingles", F.when(lone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(lone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"))
 
 

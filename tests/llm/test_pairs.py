@@ -340,3 +340,33 @@ def test_crowded_chunks_change_no_document(spark, monkeypatch):
     one = {r["doc_id"] for r in passage_dedup.repeated_passages(df.coalesce(1)).collect()}
     many = {r["doc_id"] for r in passage_dedup.repeated_passages(df.repartition(30)).collect()}
     assert one == many and set(range(80, 200)) <= one
+
+
+def test_pages_of_one_template_part_before_the_tiles(spark, monkeypatch):
+    """Unlinked sets that share half of their shingles give no pool of many tiles; linked ones stay together."""
+    rng = random.Random(31)
+    template = ["t%d" % i for i in range(120)]
+    texts = [" ".join(template + ["o%d" % rng.randrange(10**8) for _ in range(rng.randrange(50, 100))]) for _ in range(150)]
+    texts += [edit(rng, texts[i]) for i in range(0, 40) for _ in range(2)]
+    monkeypatch.setattr(jaccard_join, "TILE_DOCS", 16)
+    pools = []
+    inner = jaccard_join._smaller_pools
+    monkeypatch.setattr(jaccard_join, "_smaller_pools", lambda docs, members, k, plan: pools.append((members.count(), inner(docs, members, k, plan))) or pools[-1][1])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard_join.jaccard_groups(df, 5, 8, 10).collect()}
+    assert got == brute_groups(list(enumerate(texts)), 5, 8, 10)
+    (before, after), = pools
+    assert before > 100 and max(r["count"] for r in after.groupBy("pool").count().collect()) <= 3
+
+
+def edit(rng, text):
+    w = text.split()
+    w[rng.randrange(len(w))] = "e%d" % rng.randrange(10**8)
+    return " ".join(w)
+
+
+def test_crowded_signatures_are_linked_within_a_chunk():
+    sig = np.array([5] * 12 + [6] * 12 + [7] * 3, np.uint64)
+    of, role = np.arange(27), np.array([3] * 12 + [1] * 12 + [3] * 3)
+    stays, near, far = jaccard_join._crowded(sig, of, role)
+    assert stays.tolist() == [True] + [False] * 11 + [True] * 15 and near.tolist() == list(range(1, 12)) and set(far.tolist()) == {0}
