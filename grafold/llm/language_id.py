@@ -240,8 +240,8 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model | None:
         return None
     take = max(LEAST_DOCS, min(per_lang, SAMPLE_DOCS // len(counts)))
     h = F.abs((F.xxhash64(F.lit("sample"), F.col("doc_id")) % (1 << 30)).cast("double") / float(1 << 30))
-    share = ok.sparkSession.createDataFrame([(x, min(1.0, 1.3 * take / n + 20 / n)) for x, n in counts.items()], "lang string, share double")
-    drawn = ok.withColumn("h", h).join(share, "lang").where("h < share or share = 1")
+    share = F.element_at(F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.5, 1.3 * take / n + 20 / n)))), F.col("lang"))
+    drawn = ok.withColumn("h", h).where(F.col("h") < share)  # before texts are shuffled
     first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))
     drawn = drawn.select("lang", "text", first.alias("rank")).where(F.col("rank") <= take)
     found = drawn.mapInArrow(_sampled, "lang string, rank int, idx array<int>, share array<double>").collect()
