@@ -1,6 +1,8 @@
 """Nearest neighbours against brute force; the pipeline's stages; the registry."""
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from grafold.llm import additive_ann
 from grafold.llm.queries import ORACLES, QUERIES
@@ -32,6 +34,53 @@ def test_neighbours(spark):
     assert len(few) == 2 and additive_ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def _recall(spark, v, k=5, **how):
+    """(recall at k of 100 queries against brute force, share of the rows reranked at most)."""
+    n = len(v)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(v.ravel(), v.shape[1]).cast(pa.list_(pa.float64()))})).repartition(4)
+    got = {}
+    for r in additive_ann.nearest(df, df.where(f"vec_id % {n // 100} = 0"), k, **how).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    hit = 0
+    for q, found in got.items():
+        s = unit @ unit[q]
+        s[q] = -2
+        hit += len(found & set(np.argsort(-s)[:k].tolist()))
+    return hit / (k * len(got))
+
+
+@pytest.mark.parametrize(("d", "words"), [(64, 20_000), (256, 20_000)])
+def test_recall_where_few_rows_are_reranked(spark, d, words):
+    """Vectors without any structure, the worst case, in more than one list; 4 % of a block are reranked."""
+    assert additive_ann.SHARE <= 0.05 and additive_ann.RERANK <= 0.05 * words / 3
+    v = np.random.default_rng(d).normal(size=(words, d))
+    assert _recall(spark, v, train_rows=2048) >= 0.9
+
+
+def test_recall_of_clustered_vectors_in_few_lists(spark):
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(60, 32))[rng.integers(0, 60, 6000)] + 0.25 * rng.normal(size=(6000, 32))
+    x = (v / np.linalg.norm(v, axis=1)[:, None]).astype(np.float32)
+    centre, _ = additive_ann._centres(x, 30, np.random.default_rng(3), True)
+    assert additive_ann._probes(x, centre, 5, 0.97) <= 6
+    assert _recall(spark, v, lists=30, train_rows=2000) >= 0.9
+
+
+def test_lists_and_queries_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    v = np.concatenate([rng.normal(size=(300, 16)), np.repeat(rng.normal(size=(1, 16)), 300, axis=0)])  # half are copies
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(None, v[0].tolist())], "vec_id long, embedding array<double>")
+    whole = sorted(map(tuple, additive_ann.nearest(df, df.where("vec_id % 10 = 0"), rerank=700, lists=4).collect()))
+    monkeypatch.setattr(additive_ann, "BLOCK", 40)
+    monkeypatch.setattr(additive_ann, "QUERY_BLOCK", 7)
+    assert sorted(map(tuple, additive_ann.nearest(df, df.where("vec_id % 10 = 0"), rerank=700, lists=4).collect())) == whole
+    assert len(whole) == 300 and [r[2] for r in whole if r[0] == 400] == [300, 301, 302, 303, 304]
+    # The queries' own commonest length does not count.
+    mixed = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.0, 1.0]), (50, [1.0]), (100, [1.0])], "vec_id long, embedding array<double>")
+    assert [r["vec_id"] for r in additive_ann.nearest(mixed, mixed.where("vec_id % 50 = 0")).collect()] == [1, 2]
+
+
 def test_beam_search_is_no_worse_than_greedy():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 16))
