@@ -7,14 +7,18 @@ first, found at a falling search length by running Karp-Rabin hashes, down to ``
 pair is contaminated if the tiles cover at least ``threshold`` of the item's words. As tiles need not
 be in order, a passage whose sentences were moved about is still covered.
 
-The benchmark is read in blocks of at most ``BLOCK_CHARS`` characters (about); each block's seeds are
-shipped to all tasks and the documents go through once a block, whole. An item shorter than
-``MIN_MATCH`` words must occur entirely.
+Documents and items meet in a join on seeds, which is complete. A pair that covers enough of an item has
+``threshold * words / MIN_MATCH`` of its seed places, so all but that number (less one) of an item's places
+are indexed, those of the seeds that the most items share being left out: a stem that thousands of items
+begin with forms no pairs, it only confirms them. A Bloom filter of the indexed seeds (``FILTER_BITS`` at
+most, 16 MB) keeps other seeds of the documents from the shuffle. Pairs are then tiled, ``GROUP`` items of
+one document at a time. An item shorter than ``MIN_MATCH`` words must occur entirely; its seed is the whole.
 
 Results on odd input: null or empty texts and items without words match nothing; repeated documents
 each match (one result for a doc_id and item, the best; rows of null doc_id are one document); items
-without item_id or text are left out, repeated ones are items; extra columns are
-ignored by ``contamination`` and kept by ``clean``; an empty table on either side gives no matches.
+without item_id or text are left out, repeated ones count once; a very long text is tiled whole, where its
+seeds are; of equal matches the first in the document is marked; extra columns are ignored by
+``contamination`` and kept by ``clean``; an empty table on either side gives no matches.
 """
 
 from __future__ import annotations
@@ -23,12 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grafold.llm import textwords as T
+from grafold.operators.components import cut
 
-MIN_MATCH, THRESHOLD, BLOCK_CHARS = 5, 0.5, 16 << 20
+MIN_MATCH, THRESHOLD = 5, 0.5
+GROUP, FILTER_BITS = 64, 1 << 27
 _B = np.uint64(0xA24BAED4963EE407)
 
 
@@ -93,73 +99,95 @@ def tiles(doc: np.ndarray, item: np.ndarray, least: int = MIN_MATCH) -> list[tup
         length = max(least, length // 2)
 
 
-def _index(texts: list[str | None], ids: list[int], least: int) -> dict:
-    """Seeds of a block of items: hashes of their runs of `least` words (of all words, if fewer)."""
-    seqs, seeds, item, place = [], [], [], []
-    for first, _, data, offsets in T.spans(pa.array(texts, pa.string())):
-        w = T.words(data, offsets, loose=True)
-        edge = np.searchsorted(w.doc, np.arange(w.n_docs + 1))
-        seqs += [w.hash[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
-        doc, h, at = T.shingles(w, least)
-        seeds.append(h)
-        item.append(doc + first)
-        place.append(at - edge[doc])
-    seeds, item, place = (np.concatenate([*x, np.zeros(0, d)]) for x, d in ((seeds, np.uint64), (item, np.int64), (place, np.int64)))
-    order = np.argsort(seeds, kind="stable")
-    return {"ids": np.array(ids, np.int64), "seqs": seqs, "seeds": seeds[order], "item": item[order].astype(np.int64), "place": place[order].astype(np.int64), "least": least}
+def _item_seeds(least: int):
+    """A row for each seed place of an item: runs of `least` words, the whole of a shorter item."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, _, data, offsets in T.spans(batch.column("text")):
+                w = T.words(data, offsets, loose=True)
+                n = w.counts()
+                for k in range(1, least + 1):
+                    doc, h, at = T.shingles(w, k, whole=False)
+                    own = (n == k) if k < least else (n >= k)
+                    at = at - np.searchsorted(w.doc, doc)
+                    doc, h, at = doc[own[doc]], h[own[doc]], at[own[doc]]
+                    yield pa.RecordBatch.from_arrays([batch.column("item").take(pa.array(doc + first)), pa.array(h.view(np.int64)), pa.array(at.astype(np.int32)), pa.array(n[doc].astype(np.int32)), pa.array(np.full(len(h), k, np.int32))], ["item", "seed", "place", "words", "k"])
+
+    return run
 
-def _match(ix: dict, threshold: float):
-    least = ix["least"]
-    size = np.array([len(s) for s in ix["seqs"]], np.int64)
-    short = [(i, s) for i, s in enumerate(ix["seqs"]) if 0 < len(s) < least]
+
+def _doc_seeds(lengths: list[int], bits: np.ndarray):
+    """The distinct seeds of each document that the filter knows."""
+    mask = np.uint64(len(bits) * 64 - 1)
+
+    def known(h: np.ndarray) -> np.ndarray:
+        out = np.ones(len(h), bool)
+        for x in (h & mask, (h >> np.uint64(28)) & mask):
+            out &= (bits[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63))) & np.uint64(1) > 0
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds, item, place = ix["seeds"], ix["item"], ix["place"]
         for batch in batches:
-            for first, last, data, offsets in T.spans(batch.column("text")):
-                part = batch.slice(first, last - first)
+            for first, _, data, offsets in T.spans(batch.column("text")):
                 w = T.words(data, offsets, loose=True)
-                _, h, at = T.shingles(w, least, whole=False)
-                lo, hi = np.searchsorted(seeds, h, "left"), np.searchsorted(seeds, h, "right")
-                n = hi - lo
-                hit = np.repeat(np.arange(len(h)), n)
-                which = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[hit]
-                doc, it, q, p = w.doc[at[hit]], item[which], place[which], at[hit]
+                for k in lengths:
+                    doc, h, _ = T.shingles(w, k, whole=False)
+                    hit = known(h)
+                    pairs = np.unique(np.stack([doc[hit].astype(np.uint64), h[hit]], axis=1), axis=0)
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(pairs[:, 0].astype(np.int64) + first)), pa.array(pairs[:, 1].view(np.int64))], ["doc_id", "seed"])
+
+    return run
+
+
+def _filter(seeds: DataFrame) -> np.ndarray:
+    """The Bloom filter of a table of seeds, as 64-bit words; made on the executors."""
+    n = seeds.count()
+    size = 1 << 16
+    while size < min(16 * n, FILTER_BITS):
+        size *= 2
+    at = F.explode(F.array(F.col("seed").bitwiseAND(size - 1), F.shiftright("seed", 28).bitwiseAND(size - 1)))
+    marked = seeds.select(at.alias("x")).groupBy(F.shiftright("x", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(x & 63 as int))")).alias("bits"))
+    out = np.zeros(size >> 6, np.uint64)
+    for r in marked.toLocalIterator():
+        out[r["word"]] = np.int64(r["bits"]).view(np.uint64)
+    return out
+
+
+def _tiled(least: int, threshold: float):
+    """The contaminated ones of a document and some items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                w = _sequence(row.column("text")[0].as_py())
                 rows = []
-                # Could the seeds cover enough? Distinct places of the item, each seed covering `least`.
-                if len(doc):
-                    order = np.lexsort((q, it, doc))
-                    d, i, qq, pp = doc[order], it[order], q[order], p[order]
-                    begin = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (i[1:] != i[:-1])]))
-                    for a, b in zip(begin, [*begin[1:], len(d)], strict=True):
-                        whole = size[i[a]]
-                        places = np.unique(qq[a:b])
-                        reach = np.minimum(np.diff(places, append=whole), least).sum()
-                        if reach < threshold * whole:
-                            continue
-                        sub = _seeded_part(w.hash, pp[a:b], least)
-                        found = tiles(sub, ix["seqs"][i[a]], least)
-                        covered = sum(x[2] for x in found)
-                        if covered >= threshold * whole:
-                            rows.append((int(d[a]), int(i[a]), covered, int(whole), len(found), max(x[2] for x in found), [x[1] for x in found] != sorted(x[1] for x in found)))
-                for i, s in short:
-                    rows += [(int(x), i, len(s), len(s), 1, len(s), False) for x in _whole(w, s)]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": part.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64())),
-                        "item_id": pa.array([ix["ids"][r[1]] for r in rows], pa.int64()),
-                        "covered": pa.array([r[2] for r in rows], pa.int64()),
-                        "item_words": pa.array([r[3] for r in rows], pa.int64()),
-                        "n_tiles": pa.array([r[4] for r in rows], pa.int64()),
-                        "longest": pa.array([r[5] for r in rows], pa.int64()),
-                        "reordered": pa.array([r[6] for r in rows], pa.bool_()),
-                    }
-                )
+                for item_id, text in ((x["item_id"], x["text"]) for x in row.column("items")[0].as_py()):
+                    item = _sequence(text)
+                    k = min(least, len(item))
+                    seeds, own = (T.shingles(T.Words(1, np.zeros(len(x), np.int64), x, *[np.zeros(0, np.int64)] * 3), k, whole=False)[1] for x in (item, w))
+                    starts = np.flatnonzero(np.isin(own, seeds))
+                    # Could the seeds cover enough? Distinct places of the item, each seed covering `k`.
+                    places = np.flatnonzero(np.isin(seeds, own))
+                    if not len(starts) or np.minimum(np.diff(places, append=len(item)), k).sum() < threshold * len(item):
+                        continue
+                    found = tiles(_seeded_part(w, starts, k), item, least)
+                    covered = sum(x[2] for x in found)
+                    if covered >= threshold * len(item) and (len(item) >= least or covered == len(item)):
+                        rows.append((item_id, covered, len(item), len(found), max(x[2] for x in found), [x[1] for x in found] != sorted(x[1] for x in found)))
+                if rows:
+                    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 5 + [pa.bool_()], strict=True)]
+                    yield pa.RecordBatch.from_arrays([row.column("doc_id").take(pa.array([0] * len(rows))), *columns], ["doc_id", "item_id", "covered", "item_words", "n_tiles", "longest", "reordered"])
 
     return run
 
 
+def _sequence(text: str | None) -> np.ndarray:
+    raw = np.frombuffer((text or "").encode(), np.uint8)
+    return T.words(raw, np.array([0, len(raw)]), loose=True).hash
+
+
 def _seeded_part(words: np.ndarray, starts: np.ndarray, least: int) -> np.ndarray:
     """The stretches of a document that seeds cover, parted by words that occur nowhere."""
     starts = np.unique(starts)
@@ -171,17 +199,6 @@ def _seeded_part(words: np.ndarray, starts: np.ndarray, least: int) -> np.ndarra
     return np.concatenate(out)
 
 
-def _whole(w: T.Words, s: np.ndarray) -> np.ndarray:
-    """Documents in which a short item occurs entirely."""
-    n = len(w.hash) - len(s) + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    same = w.doc[:n] == w.doc[len(s) - 1 :]
-    for j, x in enumerate(s):
-        same &= w.hash[j : n + j] == x
-    return np.unique(w.doc[:n][same])
-
-
 _RESULT = "doc_id long, item_id long, covered long, item_words long, n_tiles long, longest long, reordered boolean"
 
 
@@ -190,15 +207,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     item_words, n_tiles, longest, reordered)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null")
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-chars // BLOCK_CHARS))
-    out = None
-    for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect() if blocks > 1 else items.collect()
-        rows.sort(key=lambda r: (r["item_id"], r["text"]))
-        ix = _index([r["text"] for r in rows], [r["item_id"] for r in rows], least)
-        part = docs.mapInArrow(_match(ix, threshold), _RESULT)
-        out = part if out is None else out.union(part)
+    items = items.dropDuplicates().withColumn("item", F.xxhash64("item_id", "text"))
+    seeds = cut(items.mapInArrow(_item_seeds(least), "item long, seed long, place int, words int, k int"))
+    lengths = sorted(r["k"] for r in seeds.select("k").distinct().collect())  # `least` numbers at most
+    if not lengths:
+        return docs.sparkSession.createDataFrame([], _RESULT)
+    shared = seeds.groupBy("seed").agg(F.count_distinct("item").alias("held"))
+    by_rarity = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("held"), "seed", "place"))
+    needed = F.ceil(F.lit(float(threshold)) * F.col("words") / F.col("k") - 1e-9)
+    index = cut(seeds.join(shared, "seed").withColumn("rank", by_rarity).where(F.col("rank") >= needed).select("seed", "item").distinct())
+    met = docs.mapInArrow(_doc_seeds(lengths, _filter(index.select("seed").distinct())), "doc_id long, seed long").join(index, "seed")
+    pairs = cut(met.select("doc_id", "item").distinct())
+    of_doc = F.count("*").over(Window.partitionBy("doc_id"))
+    pairs = pairs.withColumn("g", F.pmod(F.xxhash64("item"), F.ceil(of_doc / GROUP)))
+    asked = pairs.join(items, "item").groupBy("doc_id", "g").agg(F.collect_list(F.struct("item_id", "text")).alias("items"))
+    asked = asked.select(F.col("doc_id").alias("of"), "items")
+    out = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("of"))).select("doc_id", "text", "items").mapInArrow(_tiled(least, threshold), _RESULT)
     best = F.max(F.struct("covered", "item_words", "n_tiles", "longest", "reordered"))
     return out.groupBy("doc_id", "item_id").agg(best.alias("m")).select("doc_id", "item_id", "m.*")
 

@@ -61,12 +61,39 @@ def test_contamination(spark):
     assert decontaminate.contamination(df, b.limit(0)).count() == 0 and decontaminate.contamination(df.limit(0), b).count() == 0
 
 
-def test_contamination_in_blocks(spark, monkeypatch):
-    b = spark.createDataFrame([(i, f"item {i} one two three four five six") for i in range(20)], "item_id long, text string")
-    df = b.select((F.col("item_id") + 100).alias("doc_id"), "text")
-    want = sorted(map(tuple, decontaminate.contamination(df, b).collect()))
-    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 100)
-    assert sorted(map(tuple, decontaminate.contamination(df, b).collect())) == want and len(want) >= 20
+def _brute_contamination(docs, items, threshold=0.5, least=5):
+    split = lambda t: re.findall(r"[0-9a-z]+", (t or "").lower())
+    out = {}
+    for i, t in docs:
+        for j, x in items:
+            a, b = split(t), split(x)
+            found = brute_tiles(a, b, least) if a and b else []
+            covered = sum(f[2] for f in found)
+            if found and covered >= threshold * len(b) and (len(b) >= least or covered == len(b)):
+                old = out.get((i, j), (0,))
+                out[i, j] = max(old, (covered, len(b), len(found), max(f[2] for f in found)))
+    return out
+
+
+def test_contamination_against_all_pairs(spark, monkeypatch):
+    """Items of one stem, items shorter than a seed, repeated words, null ids, a long document; every pair tiled."""
+    rng = random.Random(13)
+    word = lambda n: "w%d" % rng.randrange(n)
+    items = [(i, " ".join(["the", "stem", "that", "all", "of", "these", "begin", "with"] + [word(500) for _ in range(rng.randrange(2, 30))])) for i in range(30)]
+    items += [(100 + i, " ".join(word(12) for _ in range(rng.randrange(1, 15)))) for i in range(20)] + [(200, "a a a a a a a"), (201, None), (None, "w1 w2"), (202, "a b c d e f a b c d e f")]
+    items += [items[3], (300, items[3][1])]
+    docs = [(i, " ".join(word(12) for _ in range(rng.randrange(0, 40)))) for i in range(25)]
+    for i in range(25, 60):
+        a, b = rng.choice(items[:30])[1].split(), rng.choice(items[:30])[1].split()
+        at = rng.randrange(len(a))
+        docs.append((i, " ".join([word(9999), *a[at:], word(9999), *b, *a[:at]][rng.randrange(6) :])))
+    docs += [(60, "A, a; a a a a a a a"), (61, None), (62, ""), (None, items[4][1]), (None, items[5][1]), (63, "a b c d e f " * 3), (64, items[6][1] + " " + "filler " * 4000 + items[7][1]), (5, items[8][1])]
+    want = _brute_contamination(docs, [x for x in items if None not in x])
+    df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, item int").repartition(3)
+    b = spark.createDataFrame([(*x, 2) for x in items], "item_id long, text string, g int").repartition(2)
+    monkeypatch.setattr(decontaminate, "GROUP", 3)
+    got = {tuple(r)[:2]: tuple(r)[2:6] for r in decontaminate.contamination(df, b).collect()}
+    assert got == want and len(want) > 60
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 100, 1001])
