@@ -6,22 +6,24 @@ folder and reads it again for the next, so an executor lost later costs no earli
 
 Results on odd input are those of the operators: documents without letters (null and empty texts too)
 are not accepted by language ID; repeated rows of one doc_id go through the stages as rows, and the
-near-duplicate stage keeps those of the doc_id that stays; an empty table gives an empty result.
+near-duplicate stage keeps those of the doc_id that stays; rows of null doc_id are one document to the
+stages that compare documents; very long texts go through whole; extra columns, whatever their names, are
+carried to the last stage; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grafold.llm import decontaminate, jaccard_join, language_id, line_dedup, piece_codec
+from grafold.operators.components import shared_folder
 
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters and those that look like no language more than like another."""
+    """Drops documents without letters and those that no learned language explains."""
     return language_id.accepted(docs, language_id.train(docs))
 
 
@@ -61,7 +63,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to ``documents`` and returns the last one's rows."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
+    shared = shared_folder(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = f"{shared}/pipeline-{uuid.uuid4().hex}/{name}"
