@@ -2,19 +2,22 @@
 
 Method
 ------
-``LineRuns`` keeps, in the shared folder, runs of (key hash, documents, largest doc_id), each sorted by
-hash; every hash is in exactly one run. A batch of documents is aggregated to one row for each hash and
-merged with each run: hashes that no run holds become the batch's own run at level 0 (anti-join), those
-held are added to the run that holds them as an overlay, which reading sums. When a level has ``FANOUT``
-runs they are compacted with their overlays to one sorted run of the next level, so a hash is rewritten
-only log(batches) times.
+``LineRuns`` keeps, under one path, runs of (key hash, documents, largest doc_id) as tables bucketed and
+sorted by hash; every hash is in exactly one run. A batch of documents is aggregated to one row for each
+hash, written in the same buckets, and merged with each run, bucket by bucket and without a shuffle: hashes
+that no run holds become the batch's own run at level 0 (anti-join), those held are added to the run that
+holds them as an overlay, which reading sums. When a level has ``FANOUT`` runs they are compacted with
+their overlays to one sorted run of the next level, so a hash is rewritten only log(batches) times. A
+manifest, to which each batch appends one version, names the tables, so the runs can be opened again and
+the next batch added; a version that was not finished is not seen.
 
 A line's key is the line without ASCII white space at its ends, A-Z lower-cased; only keys of at least
 ``min_chars`` code points count. Keys are compared by 128-bit hash. Keys found in at least ``min_docs``
 documents lose all their lines, except in the largest doc_id that holds them. Documents are read twice:
 once for the keys, once to be rewritten, joined by doc_id with their own keys to drop.
 
-Results on odd input: null or empty text is one empty line and stays; rows that repeat a doc_id count as
+Results on odd input: null or empty text is one empty line and stays, as empty text; a very long text is
+read whole, line by line; of a repeated line all places go, and the largest doc_id keeps all of its own; rows that repeat a doc_id count as
 one document for the number of documents and are each rewritten; extra columns are kept by ``dedup_lines``;
 an empty table gives an empty result; rows of null doc_id are one document, the smallest.
 """
@@ -27,14 +30,16 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grafold.operators.components import cut
+from grafold.operators.components import cut, shared_folder
 
 MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 40, 5, 4, 4
 _WHITE = b" \t\n\x0b\x0c\r"
 _RUN = "hi long, lo long, n_docs long, last long"
+_MANIFEST = "version int, buckets int, level int, run int, part int, table string"
 
 
 def _key(line: bytes, min_chars: int) -> bytes | None:
@@ -87,38 +92,52 @@ def _rewrite(min_chars: int, digest: bool):
 
 
 class LineRuns:
-    """The levelled runs. ``levels[i]`` lists the runs of level i; a run is a sorted table and its overlays."""
-
-    def __init__(self, spark, fanout: int = FANOUT):
-        self.spark, self.fanout = spark, fanout
-        self.levels: list[list[list[DataFrame]]] = [[]]
-
-    def _write(self, df: DataFrame) -> DataFrame:
-        folder = self.spark.conf.get("spark.checkpoint.dir", None)
-        df = df.repartition("hi", "lo").sortWithinPartitions("hi", "lo")
-        if not folder:
-            return cut(df)
-        path = f"{folder}/runs-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return self.spark.read.schema(_RUN).parquet(path)
-
-    @staticmethod
-    def _sum(tables: list[DataFrame]) -> DataFrame:
-        out = tables[0]
-        for t in tables[1:]:
-            out = out.union(t)
-        return out.groupBy("hi", "lo").agg(F.sum("n_docs").alias("n_docs"), F.max("last").alias("last")) if len(tables) > 1 else out
+    """The levelled runs under ``path``. ``levels[i]`` lists the runs of level i; a run is a list of table
+    names, the sorted table and its overlays. An existing manifest is opened."""
+
+    def __init__(self, spark: SparkSession, path: str, fanout: int = FANOUT, buckets: int | None = None):
+        self.spark, self.path, self.fanout, self.version = spark, path.rstrip("/"), fanout, 0
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[list[list[str]]] = [[]]
+        try:
+            manifest = spark.read.schema(_MANIFEST).parquet(f"{self.path}/manifest")
+        except AnalysisException as none:
+            if none.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return
+        for r in manifest.where(F.col("version") == manifest.agg(F.max("version")).first()[0]).orderBy("level", "run", "part").collect():
+            self.version, self.buckets = r["version"], r["buckets"]
+            while len(self.levels) <= r["level"]:
+                self.levels.append([])
+            level = self.levels[r["level"]]
+            if len(level) <= r["run"]:
+                level.append([])
+            level[r["run"]].append(r["table"])
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {r['table']} ({_RUN}) USING parquet CLUSTERED BY (hi, lo) SORTED BY (hi, lo) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{r['table']}'")
+
+    def _write(self, df: DataFrame) -> str:
+        name = f"line_run_{uuid.uuid4().hex}"
+        rows = df.select("hi", "lo", "n_docs", "last").repartition(self.buckets, "hi", "lo").sortWithinPartitions("hi", "lo")
+        rows.write.bucketBy(self.buckets, "hi", "lo").sortBy("hi", "lo").option("path", f"{self.path}/{name}").saveAsTable(name)
+        return name
+
+    def _sum(self, names: list[str]) -> DataFrame:
+        out = self.spark.table(names[0])
+        for name in names[1:]:
+            out = out.union(self.spark.table(name))
+        return out.groupBy("hi", "lo").agg(F.sum("n_docs").alias("n_docs"), F.max("last").alias("last")) if len(names) > 1 else out
 
     def add(self, batch: DataFrame) -> None:
         """batch(hi, lo, n_docs, last), a row for each hash of documents that no other batch has."""
-        new = batch
+        new = self.spark.table(self._write(batch))
         for level in self.levels:
             for run in level:
-                held = run[0].select("hi", "lo")
+                held = self.spark.table(run[0]).select("hi", "lo")
                 run.append(self._write(new.join(held, ["hi", "lo"], "left_semi")))
                 new = new.join(held, ["hi", "lo"], "left_anti")
         self.levels[0].append([self._write(new)])
         self._compact()
+        self._record()
 
     def _compact(self) -> None:
         for i, level in enumerate(self.levels):
@@ -126,21 +145,24 @@ class LineRuns:
                 if i + 1 == len(self.levels):
                     self.levels.append([])
                 # Hashes of different runs are different, so only a run's own overlays are summed.
-                merged = self._sum([t for run in level for t in run])
-                self.levels[i + 1].append([self._write(merged)])
+                self.levels[i + 1].append([self._write(self._sum([t for run in level for t in run]))])
                 self.levels[i] = []
 
+    def _record(self) -> None:
+        self.version += 1
+        rows = [(self.version, self.buckets, i, j, k, name) for i, level in enumerate(self.levels) for j, run in enumerate(level) for k, name in enumerate(run)]
+        self.spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+
     def all(self) -> DataFrame:
         """Every hash once: (hi, lo, n_docs, last)."""
-        tables = [t for level in self.levels for run in level for t in run]
-        return self._sum(tables)
+        return self._sum([t for level in self.levels for run in level for t in run])
 
 
 def _drops(docs: DataFrame, min_chars: int, min_docs: int, batches: int) -> DataFrame:
     """(doc_id, gone): for each document that loses lines, the keys of these."""
     spark = docs.sparkSession
     keys = cut(docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "text").mapInArrow(_keys(min_chars), "doc_id long, hi long, lo long"))
-    runs = LineRuns(spark)
+    runs = LineRuns(spark, f"{shared_folder(spark)}/line-runs-{uuid.uuid4().hex}")
     for b in range(batches):
         part = keys.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b)
         runs.add(part.groupBy("hi", "lo").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("last")))

@@ -112,6 +112,34 @@ def test_line_dedup(spark, batches):
     assert line_dedup.dedup_lines(docs.limit(0), digest=True).count() == 0
 
 
+def test_line_runs_opened_again(spark, tmp_path):
+    """Batches added by several openings sum to the same; the merge of a batch shuffles no run."""
+    rng = random.Random(17)
+    path, want = str(tmp_path / "runs"), {}
+    for b in range(7):
+        rows = [(h, -h, rng.randrange(1, 4), 100 * b + rng.randrange(100)) for h in rng.sample(range(60), 25)]
+        for hi, lo, n, last in rows:
+            old = want.get((hi, lo), (0, 0))
+            want[hi, lo] = (old[0] + n, max(old[1], last))
+        runs = line_dedup.LineRuns(spark, path, fanout=3, buckets=2)
+        assert runs.version == b
+        runs.add(spark.createDataFrame(rows, line_dedup._RUN))
+    got = line_dedup.LineRuns(spark, path)
+    assert {(r["hi"], r["lo"]): (r["n_docs"], r["last"]) for r in got.all().collect()} == want and got.buckets == 2
+    assert [len(level) for level in got.levels] == [1, 2]
+    a, b = (spark.table(level[0][0]) for level in got.levels)
+    plan = a.join(b.select("hi", "lo").hint("merge"), ["hi", "lo"], "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_line_dedup_of_null_ids_and_long_lines(spark):
+    line = "the same long line that stands in all of the documents"
+    long = "word " * 200_000
+    docs = spark.createDataFrame([(None, line), (None, line + "\n" + long)] + [(i, line + "\n" + long) for i in range(4)], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["n_lines"], r["n_dropped"]) for r in line_dedup.dedup_lines(docs).collect()), key=str)
+    assert got == sorted([(None, 1, 1), (None, 2, 2), (0, 2, 2), (1, 2, 2), (2, 2, 2), (3, 2, 0)], key=str)
+
+
 def test_line_dedup_counts_a_repeated_document_once(spark):
     line = "a line of more than forty characters, surely so"
     docs = spark.createDataFrame([(1, line)] * 5 + [(2, line)], "doc_id long, text string")
