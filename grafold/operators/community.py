@@ -30,6 +30,7 @@ class LeidenConfig:
     max_levels: int = 100
     max_comm_size: int = 0
     quality: str = "modularity"
+    skip_refinement: bool = False
 
     def __post_init__(self):
         if self.quality.lower() != "modularity":
@@ -124,28 +125,28 @@ def _move(g: _Level, member: np.ndarray, c: LeidenConfig, rng: np.random.Generat
 
 
 def _refine(g: _Level, coarse: np.ndarray, c: LeidenConfig, rng: np.random.Generator) -> np.ndarray:
-    """Starts from single nodes and merges greedily inside each coarse community, each node once."""
+    """Starts from single nodes and merges greedily inside each coarse community: every node is looked at
+    once, in a shuffled order, and goes where it gains most over staying, also out of a group that others
+    have joined."""
     label = list(range(g.n))
     volume, degree = g.degree.tolist(), g.degree.tolist()
-    alone = [True] * g.n
     scale = c.resolution / g.total if g.total else 0.0
     for v in rng.permutation(g.n).tolist():
-        if not alone[v]:
-            continue  # others have joined it
+        own, dv = label[v], degree[v]
         to: dict[int, float] = {}
         for u, w in g.rows[v]:
-            if coarse[u] == coarse[v] and label[u] != label[v]:
+            if coarse[u] == coarse[v]:
                 to[label[u]] = to.get(label[u], 0.0) + w
-        best, gain = None, c.epsilon
+        stay = to.pop(own, 0.0) - scale * dv * (volume[own] - dv)
+        best, gain = own, c.epsilon
         for other, w in to.items():
-            more = 2 / g.total * (w - scale * degree[v] * volume[other])
+            more = 2 / g.total * (w - scale * dv * volume[other] - stay)
             if more > gain:
                 best, gain = other, more
-        if best is not None:
-            volume[best] += degree[v]
-            volume[label[v]] -= degree[v]
+        if best != own:
+            volume[best] += dv
+            volume[own] -= dv
             label[v] = best
-            alone[best] = alone[v] = False
     return renumber(np.array(label, np.int64))
 
 
@@ -172,7 +173,7 @@ def leiden(n: int, i: np.ndarray, j: np.ndarray, a: np.ndarray, config: LeidenCo
         after = g.quality(member, c.resolution)
         if not moved or (level + 1 >= c.min_iterations and abs(after - before) < c.epsilon):
             break
-        fine = _refine(g, member, c, rng)
+        fine = member if c.skip_refinement else _refine(g, member, c, rng)
         k = int(fine.max()) + 1
         if k <= 1 or k == g.n:
             break

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grafold.functions.errors import InvalidInput
@@ -15,7 +15,8 @@ FLOOR = 1e-12
 
 
 def trial_weights(scores: DataFrame, weighting: str = "score_softmax", temperature: float | str | None = None) -> DataFrame:
-    """scores(trial, total_score) -> (trial, total_score, weight), weights adding up to 1."""
+    """scores(trial, total_score) -> (trial, total_score, weight), weights adding up to 1. Scores that the
+    weighting cannot use, and weights whose total is not finite and above 0, fail the query."""
     name = weighting.lower().replace("-", "_")
     if name not in WEIGHTINGS:
         raise InvalidInput(f"unknown weighting {weighting!r}; one of {', '.join(WEIGHTINGS)}")
@@ -30,8 +31,21 @@ def trial_weights(scores: DataFrame, weighting: str = "score_softmax", temperatu
         auto = temperature is None or temperature == "auto"
         t = F.greatest(F.stddev_pop(s).over(every), F.lit(FLOOR)) if auto else F.lit(float(temperature))
         raw = F.exp(-(s - F.min(s).over(every)) / t)
-    raw = scores.withColumn("raw", raw)
-    return raw.withColumn("weight", F.col("raw") / F.sum("raw").over(every)).drop("raw")
+    if name != "uniform":
+        raw = F.when(_finite(s), raw).otherwise(_fail("trial %d: the score is not finite"))
+    if name == "inverse_score":
+        raw = F.when(s > 0, raw).otherwise(_fail("trial %d: inverse_score needs scores above zero"))
+    total = F.sum("raw").over(every)
+    weight = F.when(_finite(total) & (total > 0), F.col("raw") / total).otherwise(_fail("trial %d: the weights have no finite total above zero"))
+    return scores.withColumn("raw", raw).withColumn("weight", weight).drop("raw")
+
+
+def _finite(x: Column) -> Column:
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+
+
+def _fail(what: str) -> Column:
+    return F.raise_error(F.format_string(what, F.col("trial"))).cast("double")
 
 
 def check_scores(scores: DataFrame, weighting: str) -> None:
@@ -89,6 +103,21 @@ def score_matrix(nodes: DataFrame, labels: DataFrame, weights: DataFrame) -> Dat
     return own.select("trial", "label", "weight", F.col("node").alias("u")).join(other, ["trial", "label"]).groupBy("u", "v").agg(F.sum("weight").alias("score"))
 
 
+def dense_matrix(nodes: DataFrame, labels: DataFrame, weights: DataFrame) -> DataFrame:
+    """The matrix with its zeros: (node, scores), a row for each node given, once, with its scores against all of
+    them in rising order of nodes. The rows come from the sparse pairs; the order is one row that all get."""
+    order = nodes.select("node").distinct().agg(F.sort_array(F.collect_list("node")).alias("all"))  # as wide as the matrix
+    held = F.map_from_entries(F.collect_list(F.struct("v", "score")))
+    rows = score_matrix(nodes, labels, weights).groupBy(F.col("u").alias("node")).agg(held.alias("held"))
+    return rows.join(order).select("node", F.transform("all", lambda v: F.coalesce(F.try_element_at("held", v), F.lit(0.0))).alias("scores"))
+
+
+def first_seen(pairs: DataFrame) -> DataFrame:
+    """pairs(u, v) -> (pos, node): the nodes that occur, once each, by their first place in the table."""
+    at = pairs.select(F.monotonically_increasing_id().alias("row"), F.posexplode(F.array("u", "v")).alias("side", "node"))
+    return at.groupBy("node").agg(F.min(F.col("row") * 2 + F.col("side")).alias("pos")).select("pos", "node")
+
+
 def threshold_pairs(scored: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Pairs of at least the threshold."""
     return scored.where(F.col("score") >= threshold)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grafold.functions.scalars import hash_long, uniform
+from grafold.operators.ordering import running
 
 EPS = 2.220446049250313e-16
 
@@ -33,8 +34,7 @@ def roc_auc(scored: DataFrame) -> DataFrame:
     """scored(score, truth 0/1) -> one row (roc_auc), NaN unless both classes occur. Equal scores count half;
     the work is on distinct scores, in score order."""
     by = scored.groupBy("score").agg(F.sum(F.col("truth").cast("double")).alias("p"), F.sum(1 - F.col("truth").cast("double")).alias("n"))
-    below = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)  # distinct scores: few, as weights are few
-    u = by.withColumn("before", F.coalesce(F.sum("n").over(below), F.lit(0.0)))
+    u = running(by, ["score"], {"upto": "n"}).withColumn("before", F.col("upto") - F.col("n"))
     out = u.agg(F.sum(F.col("p") * (F.col("before") + F.col("n") / 2)).alias("u"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return out.select(F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("u") / (F.col("p") * F.col("n"))).otherwise(float("nan")).alias("roc_auc"))
 
@@ -42,8 +42,7 @@ def roc_auc(scored: DataFrame) -> DataFrame:
 def average_precision(scored: DataFrame) -> DataFrame:
     """scored(score, truth 0/1) -> one row (average_precision), NaN unless both classes occur; equal scores are one step."""
     by = scored.groupBy("score").agg(F.sum(F.col("truth").cast("double")).alias("p"), F.count("*").cast("double").alias("c"))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    step = by.withColumns({"tp": F.sum("p").over(down), "all": F.sum("c").over(down)})
+    step = running(by, [F.desc("score")], {"tp": "p", "all": "c"})
     out = step.agg(F.sum(F.col("p") * F.col("tp") / F.col("all")).alias("s"), F.sum("p").alias("p"), F.sum("c").alias("c"))
     return out.select(F.when((F.col("p") > 0) & (F.col("p") < F.col("c")), F.col("s") / F.col("p")).otherwise(float("nan")).alias("average_precision"))
 
@@ -88,9 +87,19 @@ def balanced_pairs(labels: DataFrame, count: int, seed: int) -> DataFrame:
 
 def query_subset(live: DataFrame, fraction: float, least: int, seed: int) -> DataFrame:
     """A seeded subset of live(node): max(least, floor(fraction * n)) nodes at most, sorted."""
-    n = live.count()
+    keyed = live.select("node", hash_long(F.lit(seed), "node").alias("h"))
+    keyed = keyed.withColumn("part", F.shiftright("h", 40).cast("int"))  # 4,096 parts of a hash of 52 bits
+    sizes = sorted((r["part"], r["count"]) for r in keyed.groupBy("part").count().collect())
+    n = sum(c for _, c in sizes)
     take = min(n, max(least, int(fraction * n)))
-    return live.select("node").orderBy(hash_long(F.lit(seed), "node"), "node").limit(take).orderBy("node")
+    last = 0
+    for last, c in sizes:
+        if c >= take:
+            break
+        take -= c
+    # All of the parts below, and the rest out of one part.
+    rest = keyed.where(F.col("part") == last).orderBy("h", "node").limit(take)
+    return keyed.where(F.col("part") < last).unionByName(rest).select("node").orderBy("node")
 
 
 def expected_edges_per_node(nodes_per_cluster: int, clusters: int, p: float, q: float) -> int:

@@ -12,8 +12,9 @@ at once, and accepted with probability (mass now / first mass), which is a draw
 mass now; where few are accepted, the masses of the moment become the first masses of another round.
 The acceptance loop needs nothing but the edges among candidates: a small table for each trial,
 whatever the size of the graph. What the seeds did to all other nodes is one join and one
-aggregate at the end. Draws are inverse-CDF look-ups in two levels (blocks of ids, then within a
-block), as merges of two sorted sides, so no global sort or single-partition scan is needed.
+aggregate at the end. Draws are inverse-CDF look-ups in two levels (ranges of nodes of about equal
+numbers, as many as shuffle partitions, then within a range), as merges of two sorted sides, so no global
+sort or single-partition scan is needed, however sparse the ids are.
 """
 
 from __future__ import annotations
@@ -26,11 +27,9 @@ from grafold.functions.errors import IndexFailure, InvalidConfig
 from grafold.functions.scalars import hash_long, trial_seed, uniform
 from grafold.operators.components import cut
 from grafold.operators.neighbours import max_degree_node
+from grafold.operators.ordering import ranges
 from grafold.operators.updates import symmetric
 
-#: Ids of one block of the cumulative sums.
-BLOCK = 1 << 16
-
 
 def check_sizes(live: int, size: int, seeds: int, trials: int) -> None:
     if live == 0:
@@ -47,17 +46,17 @@ def trials_table(spark, seed: int, trials: int) -> DataFrame:
 
 
 def base_mass(nodes: DataFrame, sigma: float) -> DataFrame:
-    """(node, degree, f0) and on each row the first seed ``top`` and its degree ``top_degree``."""
+    """(node, degree, f0), the ``block`` of the node's range, and on each row the first seed ``top`` and its
+    degree ``top_degree``."""
     top = max_degree_node(nodes).select(F.col("node").alias("top"), F.col("degree").alias("top_degree"))
-    return nodes.join(F.broadcast(top)).withColumn("f0", F.lit(sigma) + F.lit(sigma) / F.col("top_degree") * F.col("degree"))  # one row
+    return ranges(nodes.select("node", "degree"), "node").join(F.broadcast(top)).withColumn("f0", F.lit(sigma) + F.lit(sigma) / F.col("top_degree") * F.col("degree"))  # one row
 
 
 def draw(mass: DataFrame, draws: DataFrame) -> DataFrame:
-    """mass(trial, node, mass), draws(trial, i, u), 0 < u < 1 -> (trial, i, node, prob): with replacement,
+    """mass(trial, node, block, mass), draws(trial, i, u), 0 < u < 1 -> (trial, i, node, prob): with replacement,
     in proportion to the mass. A draw takes the first node whose cumulative mass reaches u * total."""
-    block = F.floor(F.col("node") / F.lit(BLOCK)).alias("block")
     inner = Window.partitionBy("trial", "block").orderBy("node")
-    cum = mass.where("mass > 0").select("trial", "node", "mass", block).withColumn("hi", F.sum("mass").over(inner))
+    cum = mass.where("mass > 0").select("trial", "node", "mass", "block").withColumn("hi", F.sum("mass").over(inner))
     over = Window.partitionBy("trial").orderBy("block")
     blocks = cum.groupBy("trial", "block").agg(F.max("hi").alias("t")).withColumn("hi", F.sum("t").over(over))
     total = blocks.groupBy("trial").agg(F.max("hi").alias("total"))
@@ -116,11 +115,11 @@ def seed_schedule(edges: DataFrame, base: DataFrame, trials: DataFrame, seeds: i
     top = base.limit(1).select("top").join(trials).select("trial", F.lit(0).alias("i"), F.col("top").alias("node"))
     # A uniform node: the one of smallest hash. One aggregate over the nodes.
     leaf = trials.join(base.select("node")).groupBy("trial").agg(F.min(F.struct(hash_long("key", F.lit("leaf"), "node").alias("h"), "node")).alias("m")).select("trial", F.lit(1).alias("i"), F.col("m.node").alias("node"))
-    mass = trials.select("trial").join(base.select("node", "degree", "f0"))
+    mass = trials.select("trial").join(base.select("node", "block", "degree", "f0"))
     open_trials, had, chosen, at = trials, trials.select("trial", F.lit(0).alias("had")), None, 2
     while True:
         asks = open_trials.join(spark.range(at, at + 2 * seeds + 16)).select("trial", F.col("id").cast("int").alias("i"), uniform("key", F.lit("pick"), "id").alias("u"))
-        cands = draw(mass.select("trial", "node", F.col("f0").alias("mass")), asks).select("trial", "i", "node")
+        cands = draw(mass.select("trial", "node", "block", F.col("f0").alias("mass")), asks).select("trial", "i", "node")
         cands = cut(cands if chosen is not None else top.unionByName(leaf).unionByName(cands))
         at += 2 * seeds + 16
         who = cands.select("trial", "node").distinct()
@@ -142,11 +141,11 @@ def seed_schedule(edges: DataFrame, base: DataFrame, trials: DataFrame, seeds: i
             raise IndexFailure("no mass is left to draw seeds from")
         open_trials = trials.where(F.col("trial").isin(short))
         had = spark.createDataFrame([(t, counts[t]) for t in short], "trial int, had int")
-        mass = cut(seeded_state(edges, base, open_trials, chosen).select("trial", "node", "degree", F.col("f").alias("f0")))
+        mass = cut(seeded_state(edges, base, open_trials, chosen).select("trial", "node", "block", "degree", F.col("f").alias("f0")))
 
 
 def seeded_state(edges: DataFrame, base: DataFrame, trials: DataFrame, schedule: DataFrame) -> DataFrame:
-    """(trial, node, degree, f, owner) after all seeds: each node's smallest mass and the first seed that gave it."""
+    """(trial, node, block, degree, f, owner) after all seeds: each node's smallest mass and the first seed that gave it."""
     seeds = schedule.groupBy("trial", F.col("node").alias("seed")).agg(F.min("step").alias("step"))
     seeds = seeds.join(base.select(F.col("node").alias("seed"), F.col("degree").alias("seed_degree")), "seed")
     offers = symmetric(edges).join(seeds, F.col("src") == F.col("seed")).groupBy("trial", F.col("dst").alias("node")).agg(F.min(F.struct((F.col("weight") / F.col("seed_degree")).alias("f"), "step", "seed")).alias("best"))
@@ -156,6 +155,7 @@ def seeded_state(edges: DataFrame, base: DataFrame, trials: DataFrame, schedule:
     return state.select(
         "trial",
         "node",
+        "block",
         "degree",
         F.when(F.col("is_seed"), 0.0).when(better, F.col("best.f")).otherwise(F.col("f0")).alias("f"),
         F.when(F.col("is_seed"), F.col("node")).when(better, F.col("best.seed")).otherwise(F.col("top")).alias("owner"),
@@ -170,9 +170,9 @@ def smoothed_mass(state: DataFrame) -> DataFrame:
 
 
 def coreset_draws(mass: DataFrame, trials: DataFrame, size: int) -> DataFrame:
-    """mass(trial, node, degree, g) -> (trial, i, node, prob) of ``size`` draws a trial."""
+    """mass(trial, node, block, degree, g) -> (trial, i, node, prob) of ``size`` draws a trial."""
     asks = trials.join(mass.sparkSession.range(size)).select("trial", F.col("id").cast("int").alias("i"), uniform("key", F.lit("draw"), "id").alias("u"))
-    return draw(mass.select("trial", "node", F.col("g").alias("mass")), asks)
+    return draw(mass.select("trial", "node", "block", F.col("g").alias("mass")), asks)
 
 
 def coreset_weights(draws: DataFrame, nodes: DataFrame, size: int) -> DataFrame:

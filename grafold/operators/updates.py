@@ -44,6 +44,11 @@ def valid_prefix(ops: DataFrame) -> DataFrame:
     return ops.join(F.broadcast(stop), F.col("seq") >= F.col("stop"), "left_anti")  # one row at most
 
 
+def judged(ops: DataFrame) -> DataFrame:
+    """The ops with ``reason``, null for a valid one."""
+    return ops.withColumn("reason", _invalid())
+
+
 def raise_invalid(row) -> None:
     if row is None:
         return
@@ -59,15 +64,20 @@ def last_writes(ops: DataFrame) -> DataFrame:
     return canonical(ops).groupBy("src", "dst").agg(F.max_by(F.struct("weight"), "seq").alias("w")).select("src", "dst", "w.weight")
 
 
-def merge(edges: DataFrame, ops: DataFrame) -> DataFrame:
-    """The edges after a batch of valid ops."""
-    new = last_writes(ops).withColumn("touched", F.lit(True))
+def overlay(edges: DataFrame, written: DataFrame) -> DataFrame:
+    """The edges under last writes(src, dst, weight), one for each pair, weight null for a delete."""
+    new = written.select("src", "dst", "weight", F.lit(True).alias("touched"))
     old = edges.select("src", "dst", F.col("weight").alias("old"))
     both = old.join(new, ["src", "dst"], "full_outer")
     now = F.when(F.col("touched"), F.col("weight")).otherwise(F.col("old"))
     return both.select("src", "dst", now.alias("weight")).where("weight is not null")
 
 
+def merge(edges: DataFrame, ops: DataFrame) -> DataFrame:
+    """The edges after a batch of valid ops."""
+    return overlay(edges, last_writes(ops))
+
+
 @dataclass(frozen=True)
 class UpdateStats:
     total: int
@@ -105,9 +115,12 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def node_ops(before: DataFrame, after: DataFrame, ops: DataFrame) -> DataFrame:
     """What a batch did to its nodes: (node, degree) for each endpoint, degree null if the node is gone.
-    Endpoints that did not exist before or after (only missing deletes) are left out."""
+    Endpoints that did not exist before or after (only missing deletes) are left out. Only the touched
+    nodes' edges are summed."""
     touched = ops.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    now, was = degrees(after), degrees(before).select("node", F.col("degree").alias("was"))
+    of = lambda edges: symmetric(edges).withColumnRenamed("src", "node").join(touched, "node", "left_semi")
+    now = of(after).groupBy("node").agg(F.sum("weight").alias("degree"))
+    was = of(before).select("node", F.lit(True).alias("was")).distinct()
     out = touched.join(now, "node", "left").join(was, "node", "left")
     return out.where("degree is not null or was is not null").select("node", "degree")
 

@@ -7,7 +7,6 @@ a hash of (trial, node).
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -16,7 +15,8 @@ from pyspark.sql import functions as F
 
 from grafold.functions.scalars import hash_long, trial_seed, uniform
 from grafold.operators import community, consensus, coreset, metrics, neighbours, projection, sampling, updates
-from grafold.operators.components import cut
+from grafold.operators.components import cut, shared_folder
+from grafold.operators.ordering import running
 from grafold.plans.index import GraphIndex, IndexConfig
 from grafold.sources import sbm, tables
 
@@ -86,6 +86,11 @@ def max_degree_node(spark, sf):
     return neighbours.max_degree_node(updates.degrees(_graph(spark, sf)))
 
 
+@query(EDGES + "SELECT count(*) AS size, sum(degree) AS volume FROM n")
+def size_volume(spark, sf):
+    return neighbours.size_volume(updates.degrees(_graph(spark, sf)))
+
+
 @query(EDGES + "SELECT node AS pos, node, dst, weight FROM n JOIN s ON s.src = n.node")
 def neighbourhoods(spark, sf):
     g = _graph(spark, sf)
@@ -191,12 +196,67 @@ def prefix_abort(spark, sf):
     return updates.first_invalid(tables.event_ops(spark, sf))
 
 
+BROKEN = """
+WITH last AS (SELECT max(event_id) AS last FROM events
+), ops AS (
+  SELECT event_id AS seq, user_id AS u, CASE WHEN event_id = last // 8 * 7 THEN user_id ELSE 1000000 + CAST(json_extract_string(props, '$.k') AS BIGINT) END AS v,
+    CASE WHEN event_id = last // 4 * 3 THEN -value WHEN event_id > last // 4 * 3 AND event_id % 100 = 0 THEN 'nan'::DOUBLE WHEN event_type <> 'error' THEN value END AS weight FROM events, last
+), judged AS (SELECT *, CASE WHEN u = v THEN 'loop' WHEN weight <= 0 OR isnan(weight) OR isinf(weight) THEN 'weight' END AS reason FROM ops
+)
+"""
+
+
+def _broken(spark, sf) -> DataFrame:
+    """All events as ops, with a negative weight after three quarters and NaN weights and a loop later."""
+    ops = tables.event_ops(spark, sf)
+    last = tables.read_table(spark, sf, "events").agg(F.max("event_id").alias("last"))
+    ops = ops.join(F.broadcast(last))  # one row
+    at = lambda part, of: F.floor(F.col("last") / of) * part
+    value = tables.read_table(spark, sf, "events").select(F.col("event_id").alias("seq"), "value")
+    weight = F.when(F.col("seq") == at(3, 4), -F.col("value")).when((F.col("seq") > at(3, 4)) & (F.col("seq") % 100 == 0), float("nan")).otherwise(F.col("weight"))
+    return cut(ops.join(value, "seq").select("seq", "u", F.when(F.col("seq") == at(7, 8), F.col("u")).otherwise(F.col("v")).alias("v"), weight.alias("weight")))
+
+
+@query(BROKEN + "SELECT min(seq) AS seq, arg_min(reason, seq) AS reason FROM judged WHERE reason IS NOT NULL")
+def first_invalid_op(spark, sf):
+    return updates.first_invalid(_broken(spark, sf))
+
+
+@query(BROKEN + "SELECT least(u, v) AS src, greatest(u, v) AS dst, arg_max(struct_pack(w := weight), seq).w AS weight FROM ops WHERE seq < (SELECT min(seq) FROM judged WHERE reason IS NOT NULL) GROUP BY 1, 2 HAVING arg_max(struct_pack(w := weight), seq).w IS NOT NULL")
+def prefix_merge(spark, sf):
+    """The edges that the ops before the first invalid one leave."""
+    return updates.merge(updates.empty_edges(spark), updates.valid_prefix(_broken(spark, sf)))
+
+
+def _streamed(spark, sf):
+    from grafold.streaming.updates import EdgeTable, read_op_stream
+
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    ops = _broken(spark, sf)
+    for part in range(4):
+        ops.where(F.col("seq") % 4 == part).coalesce(1).write.mode("append").parquet(f"{folder}/ops")
+    table = EdgeTable(spark, f"{folder}/edges", newest_only=True, compact_every=3)
+    table.start(read_op_stream(spark, f"{folder}/ops", maxFilesPerTrigger=1), f"{folder}/checkpoint", availableNow=True).awaitTermination()
+    return table
+
+
+@query(BROKEN + "SELECT least(u, v) AS src, greatest(u, v) AS dst, arg_max(struct_pack(w := weight), seq).w AS weight FROM judged WHERE reason IS NULL GROUP BY 1, 2 HAVING arg_max(struct_pack(w := weight), seq).w IS NOT NULL")
+def streaming_valid_ops(spark, sf):
+    """A stream with invalid ops: all others are applied, whatever the files."""
+    return _streamed(spark, sf).edges()
+
+
+@query(BROKEN + "SELECT seq, reason FROM judged WHERE reason IS NOT NULL")
+def streaming_rejected_ops(spark, sf):
+    return _streamed(spark, sf).rejected().select("seq", "reason")
+
+
 @query(OPS + "SELECT * FROM e1")
 def streaming_merge(spark, sf):
     """The op log as a stream of files, merged batch by batch."""
     from grafold.streaming.updates import EdgeTable, read_op_stream
 
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='stream-')}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     for part in _log(spark, sf):
         part.coalesce(1).write.mode("append").parquet(f"{folder}/ops")
     table = EdgeTable(spark, f"{folder}/edges", newest_only=True)
@@ -378,9 +438,7 @@ def pair_scores(spark, sf):
 
 @query(LABELLED + "SELECT floor(row_number() OVER (ORDER BY src, dst) - 1)::BIGINT AS pair, src AS u, dst AS v FROM e")
 def flat_pairs(spark, sf):
-    from pyspark.sql import Window
-
-    g = _graph(spark, sf).withColumn("k", F.row_number().over(Window.orderBy("src", "dst")) - 1)
+    g = running(_graph(spark, sf).withColumn("one", F.lit(1)), ["src", "dst"], {"k": "one"}).withColumn("k", F.col("k") - 1)
     flat = g.select(F.posexplode(F.array("src", "dst")).alias("side", "node"), "k").select((F.col("k").cast("long") * 2 + F.col("side")).alias("pos"), "node")
     return consensus.flat_pairs(flat)
 
@@ -391,6 +449,20 @@ def score_matrix(spark, sf):
     return _r(consensus.score_matrix(labels.select("node").distinct(), labels, w), "score")
 
 
+@query(
+    LABELLED
+    + """, sparse AS (SELECT a.node AS u, b.node AS v, sum(w.weight) AS score FROM l a JOIN l b ON b.trial = a.trial AND b.label = a.label JOIN w ON w.trial = a.trial GROUP BY 1, 2),
+dense AS (SELECT a.node, b.node AS other, coalesce(s.score, 0) AS score FROM n a CROSS JOIN n b LEFT JOIN sparse s ON s.u = a.node AND s.v = b.node)
+SELECT node, count(*) AS entries, md5(string_agg(CAST(CAST(round(score * 1000000) AS BIGINT) AS VARCHAR), ',' ORDER BY other)) AS row_md5 FROM dense GROUP BY 1"""
+)
+def dense_score_matrix(spark, sf):
+    """Every entry of the matrix of all nodes, zeros too; a row's entries as one digest."""
+    _, labels, w = _labelled(spark, sf)
+    rows = consensus.dense_matrix(labels.select("node").distinct(), labels, w)
+    whole = F.transform("scores", lambda x: F.round(x * 1000000).cast("long").cast("string"))
+    return rows.select("node", F.size("scores").cast("long").alias("entries"), F.md5(F.array_join(whole, ",")).alias("row_md5"))
+
+
 @query(LABELLED + "SELECT u, v, round(score, 6) AS score FROM scored WHERE score >= 0.15")
 def threshold_pairs(spark, sf):
     return _r(consensus.threshold_pairs(_scored(spark, sf), 0.15), "score")
@@ -526,7 +598,7 @@ def leiden_query(spark, sf):
 @query()
 def query_all_trials(spark, sf):
     index = _index(spark, sf, TRIALS)
-    return index.query_all_trials(index.nodes.select("node"))
+    return index.query_all_trials().labels
 
 
 @query()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import time
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,15 +16,15 @@ from grafold.operators import projection as P
 from grafold.operators import updates as U
 from grafold.operators.community import Clusterer, LeidenConfig, cluster, leiden_clusterer
 from grafold.operators.components import cut
-from grafold.operators.coreset import coreset_graph
+from grafold.operators.coreset import check_matrix, coreset_graph
 from grafold.operators.sampling import check_sizes, extract_coreset
 from grafold.sources.tables import ops_of
 
 
 @dataclass(frozen=True)
 class IndexConfig:
-    """``num_clusters`` is advice to the clusterer and sets the default of ``sampling_seeds``. The last three
-    are accepted for compatibility; Spark plans need no such hints."""
+    """``num_clusters`` is advice to the clusterer and sets the default of ``sampling_seeds``. The last three are
+    checked and otherwise unused: they size buffers of an engine in memory, and Spark plans need no such hints."""
 
     num_clusters: int
     sigma: float = 1000.0
@@ -65,6 +65,19 @@ class QueryResult:
         return self.labels.orderBy("pos")
 
 
+@dataclass
+class AllTrials:
+    """Every trial of a query: labels(trial, pos, node, label, score), trials(trial, num_clusters, total_score)."""
+
+    labels: DataFrame
+    trials: DataFrame
+
+    def results(self) -> list[QueryResult]:
+        """One result for each trial, in order; their labels keep the score of each node."""
+        rows = self.trials.orderBy("trial").collect()  # a row for each trial
+        return [QueryResult(self.labels.where(F.col("trial") == r["trial"]).drop("trial"), r["trial"], r["num_clusters"], r["total_score"]) for r in rows]
+
+
 @dataclass
 class Consensus:
     """Reusable: the labels of all trials and their weights. Pairs are scored on demand."""
@@ -88,6 +101,12 @@ class Consensus:
             C.require_members(nodes.select(F.col("node").alias("u"), F.col("node").alias("v")), self.labels)
         return C.score_matrix(self.nodes if nodes is None else nodes, self.labels, self.trials)
 
+    def dense_matrix(self, nodes: DataFrame | None = None) -> DataFrame:
+        """(node, scores) with the zeros, of all nodes asked for or of some."""
+        if nodes is not None:
+            C.require_members(nodes.select(F.col("node").alias("u"), F.col("node").alias("v")), self.labels)
+        return C.dense_matrix(self.nodes if nodes is None else nodes, self.labels, self.trials)
+
     def threshold_pairs(self, pairs: DataFrame, threshold: float = 0.8) -> DataFrame:
         return C.threshold_pairs(self.score_pairs(pairs), threshold)
 
@@ -102,28 +121,51 @@ class Consensus:
     def num_nodes(self) -> int:
         return self.nodes.count()
 
+    @property
+    def num_clusters(self) -> dict[int, int]:
+        """Clusters of each trial."""
+        return {r["trial"]: r["num_clusters"] for r in self.trials.select("trial", "num_clusters").collect()}
+
     @property
     def trial_indices(self) -> list[int]:
         return [r["trial"] for r in self.trials.select("trial").orderBy("trial").collect()]
 
 
-@dataclass
 class GraphIndex:
-    """``edges`` may start from any table (src, dst, weight), src < dst. Update batches are merged at once into
-    a checkpointed table; degrees are computed once for each version of it."""
+    """``edges`` may start from any table (src, dst, weight), src < dst. An update batch adds its last writes as a
+    small checkpointed delta; reading lays the deltas over the base. The base is written anew when
+    ``COMPACT_DELTAS`` deltas have come together or a query needs the degrees, not for each batch.
 
-    spark: SparkSession
-    config: IndexConfig
-    clusterer: Clusterer | None = None
-    edges: DataFrame | None = None
-    timing: dict[str, float] = field(default_factory=dict)
-    _nodes: DataFrame | None = None
+    ``timing`` adds up over all queries: seconds of the steps, and how many queries, trials, coreset nodes
+    and labels there were."""
 
-    def __post_init__(self):
-        if self.clusterer is None:
-            self.clusterer = leiden_clusterer(LeidenConfig(seed=self.config.rng_seed or 0))
-        if self.edges is None:
-            self.edges = U.empty_edges(self.spark)
+    COMPACT_DELTAS = 16
+
+    def __init__(self, spark: SparkSession, config: IndexConfig, clusterer: Clusterer | None = None, edges: DataFrame | None = None):
+        self.spark, self.config = spark, config
+        self.clusterer = clusterer or leiden_clusterer(LeidenConfig(seed=config.rng_seed or 0))
+        self._base = U.empty_edges(spark) if edges is None else edges
+        self._deltas: list[DataFrame] = []
+        self._nodes: DataFrame | None = None
+        self.timing: dict[str, float] = {}
+
+    @property
+    def edges(self) -> DataFrame:
+        if not self._deltas:
+            return self._base
+        out = None
+        for k, delta in enumerate(self._deltas):
+            part = delta.withColumn("k", F.lit(k))
+            out = part if out is None else out.unionByName(part)
+        return U.overlay(self._base, out.groupBy("src", "dst").agg(F.max_by(F.struct("weight"), "k").alias("w")).select("src", "dst", "w.weight"))
+
+    def _compact(self) -> None:
+        if self._deltas:
+            self._base, self._deltas = cut(self.edges), []
+
+    def _spent(self, **steps: float) -> None:
+        for name, value in steps.items():
+            self.timing[name] = self.timing.get(name, 0) + value
 
     # Updates
 
@@ -134,11 +176,16 @@ class GraphIndex:
             ops = ops_of(self.spark, ops)
         if "seq" not in ops.columns:
             raise InvalidInput("ops need a column seq, which orders them")
+        began = time.perf_counter()
         ops = cut(ops.select(F.col("seq").cast("long").alias("seq"), F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), F.col("weight").cast("double").alias("weight")))
         bad = U.first_invalid(ops).first()
         good = ops if bad is None else ops.where(F.col("seq") < bad["seq"])
         stats = U.UpdateStats(**U.update_stats(self.edges, good).first().asDict())
-        self.edges, self._nodes = cut(U.merge(self.edges, good)), None
+        if stats.total:
+            self._deltas, self._nodes = [*self._deltas, cut(U.last_writes(good))], None
+        if len(self._deltas) >= self.COMPACT_DELTAS:
+            self._compact()
+        self._spent(update_s=time.perf_counter() - began, updates=stats.total)
         U.raise_invalid(bad)
         return stats
 
@@ -150,12 +197,13 @@ class GraphIndex:
         return self.update_edges([(u, v, None)]).deleted == 1
 
     def flush(self) -> None:
-        """Computes the degrees of the present edges. Queries do it by themselves."""
+        """Compacts the edges and computes their degrees. Queries do it by themselves."""
         if self._nodes is None:
+            self._compact()
             self._nodes = cut(U.degrees(self.edges))
 
     def clear(self) -> None:
-        self.edges, self._nodes = U.empty_edges(self.spark), None
+        self._base, self._deltas, self._nodes = U.empty_edges(self.spark), [], None
 
     @property
     def nodes(self) -> DataFrame:
@@ -171,6 +219,28 @@ class GraphIndex:
     def live_node_count(self) -> int:
         return self.nodes.count()
 
+    @property
+    def volume(self) -> float:
+        """The sum of all degrees."""
+        return N.size_volume(self.nodes).first()["volume"]
+
+    def neighbours(self, node: int) -> DataFrame:
+        """(dst, weight) of one node."""
+        return N.neighbours_of(self.edges, node)
+
+    def neighbourhoods(self, nodes: DataFrame | list) -> DataFrame:
+        """(pos, node, dst, weight); IndexFailure for a node without an edge."""
+        table = self._table(nodes)
+        N.require_live(table, self.edges)
+        return N.neighbourhoods(table, self.edges)
+
+    def intersecting(self, sources: DataFrame | list, targets: DataFrame | list) -> DataFrame:
+        """(pos, node, dst, ord, weight): the neighbours of the sources among the targets; IndexFailure for a
+        source without an edge."""
+        table = self._table(sources)
+        N.require_live(table, self.edges)
+        return N.intersecting(table, self._table(targets).withColumnRenamed("pos", "ord"), self.edges)
+
     # Queries
 
     def _query(self, query: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -181,13 +251,17 @@ class GraphIndex:
         if lost is not None:
             raise IndexFailure(f"unknown node {lost['node']}")
         coreset = extract_coreset(self.edges, self.nodes, c.rng_seed or 0, c.coreset_size, c.seeds, c.num_trials, c.sigma)
-        self.timing["coreset_s"] = time.perf_counter() - began
-        graph = coreset_graph(coreset, self.edges, c.sigma)
+        drawn = time.perf_counter()
+        graph = cut(coreset_graph(coreset, self.edges, c.sigma))
+        check_matrix(graph)
+        built = time.perf_counter()
         labelled = cut(cluster(graph, coreset, self.clusterer, c.num_clusters))
-        self.timing["cluster_s"] = time.perf_counter() - began - self.timing["coreset_s"]
+        clustered = time.perf_counter()
         labels = cut(P.project(query, labelled, self.edges, self.nodes, c.sigma))
-        trials = P.trial_scores(labels).join(P.counted(labelled), "trial")
-        self.timing["query_s"] = time.perf_counter() - began
+        trials = cut(P.trial_scores(labels).join(P.counted(labelled), "trial"))
+        done = time.perf_counter()
+        self._spent(coreset_s=drawn - began, graph_s=built - drawn, cluster_s=clustered - built, label_s=done - clustered, query_s=done - began)
+        self._spent(queries=1, trials=c.num_trials, coreset_nodes=coreset.count(), labels=labels.count())
         return labels, trials
 
     def _table(self, nodes: DataFrame | list) -> DataFrame:
@@ -210,17 +284,16 @@ class GraphIndex:
     def query_all(self) -> QueryResult:
         return self.query(self.nodes.select("node"))
 
-    def query_all_trials(self, nodes: DataFrame | list) -> DataFrame:
-        """(trial, pos, node, label, score)."""
-        return self._query(self._table(nodes))[0]
+    def query_all_trials(self, nodes: DataFrame | list | None = None) -> AllTrials:
+        """Every trial, of the nodes asked for or of all nodes."""
+        return AllTrials(*self._query(self._table(self.nodes.select("node") if nodes is None else nodes)))
 
     def query_consensus(self, nodes: DataFrame | list, weighting: str = "score_softmax", temperature: float | str | None = None) -> Consensus:
         table = self._table(nodes)
         C.require_unique(table)
         labels, trials = self._query(table)
-        scores = cut(trials)
-        C.check_scores(scores, weighting)
-        return Consensus(labels, C.trial_weights(scores, weighting, temperature), table)
+        C.check_scores(trials, weighting)
+        return Consensus(labels, C.trial_weights(trials, weighting, temperature), table)
 
     def score_pairs(self, pairs: DataFrame | list, weighting: str = "score_softmax", temperature: float | str | None = None) -> DataFrame:
         """pairs(u, v) -> with score; the consensus is asked for the nodes that occur. No pairs: no query."""
@@ -228,8 +301,8 @@ class GraphIndex:
             pairs = self.spark.createDataFrame(pairs, "u long, v long") if pairs else self.spark.createDataFrame([], "u long, v long")
         if pairs.isEmpty():
             return pairs.withColumn("score", F.lit(0.0))
-        asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        return self.query_consensus(asked, weighting, temperature).score_pairs(pairs)
+        pairs = cut(pairs)
+        return self.query_consensus(cut(C.first_seen(pairs)), weighting, temperature).score_pairs(pairs)
 
     def score_pair(self, u: int, v: int, weighting: str = "score_softmax", temperature: float | str | None = None) -> float:
         return self.score_pairs([(u, v)], weighting, temperature).first()["score"]

@@ -11,8 +11,13 @@ from grafold.functions.errors import GraphClusterError, IndexFailure, InvalidCon
 from grafold.operators import community, consensus, coreset, metrics, projection, sampling, updates
 from grafold.operators.components import components
 from grafold.plans.index import GraphIndex, IndexConfig
-from grafold.plans.replay import early_batches, replay, summary, write_report
+from grafold.operators.ids import NamedIndex
+from grafold.operators.metrics import default_sampling_seeds, expected_edges_per_node
+from grafold.operators.ordering import running
+from grafold.plans.replay import control_leiden, early_batches, replay, summary, trial_scaling, write_report
 from grafold.sources import sbm
+from grafold.sources.tables import ops_of
+from grafold.streaming.updates import EdgeTable
 
 TWO_BLOCKS = [(0, 1, 1.0), (0, 2, 1.0), (1, 2, 1.0), (3, 4, 1.0), (3, 5, 1.0), (4, 5, 1.0), (2, 3, 0.01)]
 
@@ -40,6 +45,8 @@ def test_leiden_edges_of_the_domain():
     none = np.zeros(0)
     assert community.leiden(0, none, none, none).tolist() == [] and community.leiden(3, none, none, none).tolist() == [0, 1, 2]
     assert community.leiden(3, *matrix([(0, 1, 1.0), (1, 2, 0.0)], n=3)).tolist() == [0, 0, 1]
+    plain = community.leiden(6, *matrix(TWO_BLOCKS), community.LeidenConfig(skip_refinement=True))
+    assert plain.tolist() == [0, 0, 0, 1, 1, 1]
     for bad in (-1.0, float("nan"), float("inf")):
         with pytest.raises(IndexFailure):
             community.leiden(3, *matrix([(0, 1, bad)], n=3))
@@ -155,6 +162,11 @@ def test_query_keeps_order_and_repeats(spark):
     got = r.in_order().collect()
     assert [x["node"] for x in got] == [3, 1, 2, 3] and got[0]["label"] == got[3]["label"] and r.trial_index == 0 and r.num_clusters > 0
     assert g.query_all().labels.count() == 4
+    trials = g.query_all_trials()
+    (only,) = trials.results()
+    assert trials.labels.count() == 4 and only.trial_index == 0 and only.num_clusters > 0 and only.labels.columns == ["pos", "node", "label", "score"]
+    assert math.isclose(only.total_score, sum(x["score"] for x in only.labels.collect()))
+    assert g.timing["queries"] == 3 and g.timing["labels"] == 12 and g.timing["query_s"] >= g.timing["label_s"] > 0
     with pytest.raises(IndexFailure):
         g.query([1, 77])
     with pytest.raises(InvalidInput):
@@ -184,6 +196,13 @@ def test_consensus(spark):
         c.score_pair(1, 99)
     assert g.score_pairs([]).count() == 0 and g.score_pairs([(1, 2)]).count() == 1
     assert c.score_matrix().where("u = v").count() == 3
+    dense = {r["node"]: r["scores"] for r in c.dense_matrix().collect()}
+    assert sorted(dense) == [1, 2, 3] and all(len(x) == 3 for x in dense.values()) and math.isclose(dense[2][1], 1.0)
+    sparse = {(r["u"], r["v"]): r["score"] for r in c.score_matrix().collect()}
+    assert all(math.isclose(dense[u][v - 1], sparse.get((u, v), 0.0)) for u in dense for v in dense)
+    assert set(c.num_clusters) == {0, 1, 2}
+    seen = consensus.first_seen(spark.createDataFrame([(5, 3), (3, 9), (1, 5)], "u long, v long").coalesce(1)).orderBy("pos")
+    assert [r["node"] for r in seen.collect()] == [5, 3, 9, 1]
 
 
 def test_weightings(spark):
@@ -202,6 +221,9 @@ def test_weightings(spark):
         consensus.check_scores(scores.limit(0), "uniform")
     with pytest.raises(InvalidInput):
         consensus.flat_pairs(spark.createDataFrame([(0, 1), (1, 2), (2, 3)], "pos int, node long"))
+    for how, score in (("inverse_score", -1.0), ("score_softmax", float("nan")), ("inverse_score", float("inf"))):
+        with pytest.raises(Exception, match="trial 0"):
+            consensus.trial_weights(spark.createDataFrame([(0, score), (1, 1.0)], "trial int, total_score double"), how).collect()
     only = spark.createDataFrame([(0, 5.0)], "trial int, total_score double")
     assert consensus.trial_weights(only).first()["weight"] == 1.0
     tie = spark.createDataFrame([(1, 2.0), (0, 2.0), (2, float("nan"))], "trial int, total_score double")
@@ -284,14 +306,12 @@ def test_replay_finds_the_planted_clusters(spark, tmp_path):
 
 
 def test_streaming_replays_a_failed_batch(spark, tmp_path):
-    from grafold.sources.tables import ops_of
-    from grafold.streaming.updates import EdgeTable
-
     table = EdgeTable(spark, str(tmp_path / "edges"))
     table.apply(ops_of(spark, [(1, 2, 1.0), (2, 3, 1.0)]), 0)
     for _ in range(2):  # the same batch twice
         table.apply(ops_of(spark, [(1, 2, None), (3, 4, 2.0)]), 1)
     assert sorted(map(tuple, table.edges().collect())) == [(2, 3, 1.0), (3, 4, 2.0)]
+    assert sorted(map(tuple, table.edges(0).collect())) == [(1, 2, 1.0), (2, 3, 1.0)]
     newest = EdgeTable(spark, str(tmp_path / "newest"), newest_only=True)
     late = ops_of(spark, [(1, 2, 9.0)])
     newest.apply(ops_of(spark, [(1, 2, 1.0), (2, 1, None)]), 0)
@@ -299,6 +319,127 @@ def test_streaming_replays_a_failed_batch(spark, tmp_path):
     assert newest.edges().count() == 0
 
 
+def test_streaming_loses_no_op(spark, tmp_path):
+    """An invalid op takes no other op along, or fails the query; either way it is on record."""
+    ops = [(1, 2, 1.0), (3, 3, 1.0), (4, 5, 1.0), (6, 7, -1.0), (8, 9, 1.0)]
+    table = EdgeTable(spark, str(tmp_path / "a"))
+    table.apply(ops_of(spark, ops), 0)
+    assert sorted(r["src"] for r in table.edges().collect()) == [1, 4, 8]
+    assert sorted((r["seq"], r["reason"], r["batch"]) for r in table.rejected().collect()) == [(1, "loop", 0), (3, "weight", 0)]
+    strict = EdgeTable(spark, str(tmp_path / "b"), on_invalid="fail")
+    with pytest.raises(IndexFailure):
+        strict.apply(ops_of(spark, ops), 0)
+    assert [r["src"] for r in strict.edges().collect()] == [1]
+    assert [(r["seq"], r["reason"]) for r in strict.rejected().orderBy("seq").collect()] == [(1, "loop"), (2, "after"), (3, "weight"), (4, "after")]
+
+
+@pytest.mark.parametrize("newest", [False, True])
+def test_streaming_compacts(spark, tmp_path, newest):
+    rng = random.Random(6)
+    table, want, seq = EdgeTable(spark, str(tmp_path / "t"), newest_only=newest, compact_every=3), {}, 0
+    for batch in range(8):
+        ops = [(seq + i, *sorted(rng.sample(range(6), 2)), rng.choice([None, 1.0, 2.0])) for i in range(5)]
+        seq += 5
+        want.update({(u, v): w for _, u, v, w in ops})
+        table.apply(spark.createDataFrame(ops, updates.OPS), batch)
+        assert sorted(map(tuple, table.edges().collect())) == sorted((u, v, w) for (u, v), w in want.items() if w)
+    assert table._versions("base") == [2, 5] and table._versions("delta") == [3, 4, 5, 6, 7] and table.latest() == 7
+
+
+def test_names(spark):
+    g = NamedIndex(GraphIndex(spark, IndexConfig(2, coreset_size=3, sampling_seeds=2, rng_seed=42)))
+    s = g.update_edges([("a", "b", 1.0), ("b", "c", 1.0), ("c", "d", 1.0), ("x", "a", None)])
+    assert (s.total, s.set, s.deleted, s.missing_deletes) == (4, 3, 0, 1)
+    assert sorted(r["name"] for r in g.names.collect()) == ["string:a", "string:b", "string:c", "string:d"]
+    got = g.query(["d", "a", "d"]).in_order().collect()
+    assert [r["node"] for r in got] == ["d", "a", "d"] and got[0]["label"] == got[2]["label"]
+    assert g.score_pairs([("a", "b"), ("a", "a")]).where("u = v").first()["score"] == 1.0
+    with pytest.raises(IndexFailure, match="zz"):
+        g.query(["a", "zz"])
+    g.update_edges([(1, 2, 1.0), ("1", "2", 2.0)][:1])
+    assert g.names.where("name = 'long:1'").count() == 1 and g.names.select("node").distinct().count() == 6
+    g.update_edges([(1, 2, None)])
+    g.release()
+    assert g.names.count() == 4
+
+
+def test_index_reads_deltas(spark):
+    g = path4(spark)
+    g.COMPACT_DELTAS = 3
+    g.update_edge(9, 1, 5.0)
+    assert not g.delete_edge(7, 8) and g.delete_edge(2, 1) and len(g._deltas) < 3
+    assert sorted(map(tuple, g.edges.collect())) == [(1, 9, 5.0), (2, 3, 1.0), (3, 4, 1.0)]
+    assert g.volume == 14.0 and sorted(map(tuple, g.neighbours(3).collect())) == [(2, 1.0), (4, 1.0)] and not g._deltas
+    assert g.neighbourhoods([3, 9]).count() == 3 and g.intersecting([3], [4, 9, 4]).first()["ord"] == 0
+    for lost in (lambda: g.neighbourhoods([3, 77]), lambda: g.intersecting([77], [3])):
+        with pytest.raises(IndexFailure, match="77"):
+            lost()
+
+
+def test_seeds_are_drawn_in_proportion_to_the_masses(spark):
+    """The acceptance loop against the masses of sequential draws, by chi-square over many trials."""
+    edges = [(0, 1, 4.0), (0, 2, 1.0), (1, 2, 0.1), (2, 3, 2.0), (3, 4, 0.2), (4, 5, 3.0), (0, 5, 0.3), (5, 6, 1.0)]
+    e = spark.createDataFrame(edges, updates.EDGES)
+    nodes, trials = updates.degrees(e), sampling.trials_table(spark, 3, 500)
+    base = sampling.base_mass(nodes, 0.4)
+    got = {}
+    for r in sampling.seed_schedule(e, base, trials, 4).collect():
+        got.setdefault(r["trial"], {})[r["step"]] = r["node"]
+    deg = {r["node"]: r["degree"] for r in nodes.collect()}
+    want, seen = [dict.fromkeys(deg, 0.0) for _ in range(2)], [dict.fromkeys(deg, 0) for _ in range(2)]
+    for steps in got.values():
+        f = {v: 0.4 + 0.4 * deg[v] / max(deg.values()) for v in deg}
+        for k in range(4):
+            if k >= 2:
+                for v in deg:
+                    want[k - 2][v] += f[v] / sum(f.values())
+                seen[k - 2][steps[k]] += 1
+            p = steps[k]
+            f[p] = 0.0
+            for a, b, w in edges:
+                if p in (a, b):
+                    q = a + b - p
+                    f[q] = min(f[q], w / deg[p])
+    for k in range(2):
+        chi = sum((seen[k][v] - want[k][v]) ** 2 / want[k][v] for v in deg if want[k][v])
+        assert chi < 22.5, (seen[k], want[k])  # 0.1 % of 6 degrees of freedom
+
+
+def test_draws_over_sparse_ids(spark):
+    """Ids far apart lie in few ranges; the draws are those of one cumulative sum in order."""
+    rng = random.Random(3)
+    mass = sorted((rng.randrange(1 << 60), rng.uniform(0.1, 2)) for _ in range(50))
+    table = sampling.ranges(spark.createDataFrame([(0, n, m) for n, m in mass], "trial int, node long, mass double").repartition(4), "node")
+    assert table.select("block").distinct().count() <= 2
+    asks = [(0, i, (i + 0.5) / 40) for i in range(40)]
+    total, want = sum(m for _, m in mass), []
+    for _, _, u in asks:
+        at, up = u * total, 0.0
+        for n, m in mass:
+            up += m
+            if up >= at:
+                want.append(n)
+                break
+    got = sampling.draw(table, spark.createDataFrame(asks, "trial int, i int, u double")).orderBy("i").collect()
+    assert [r["node"] for r in got] == want
+
+
+def test_running_sums_over_ranges(spark):
+    rows = [(random.Random(i).random(), i) for i in range(200)]
+    got = running(spark.createDataFrame(rows, "x double, n int").repartition(5), [F.desc("x")], {"s": "n"}).collect()
+    assert {r["n"]: r["s"] for r in got} == {n: sum(m for y, m in rows if y >= x) for x, n in rows}
+
+
+def test_scaling_and_control(spark):
+    p = sbm.SbmParams(seed=3, nodes_per_cluster=12, clusters=3, p_internal=0.8, q_external=0.01)
+    config = IndexConfig(3, coreset_size=16, sampling_seeds=default_sampling_seeds(1, 16), num_trials=1, rng_seed=1, expected_edges_per_node=expected_edges_per_node(12, 3, 0.8, 0.01))
+    runs = trial_scaling(spark, p, config, [1, 2], step=1.0, fraction=1.0, pairs=50)
+    assert sorted(r["num_trials"] for r in summary(runs).collect()) == [1, 2] and config.sampling_seeds == 8 and config.expected_edges_per_node == 9
+    ops = sbm.sbm_ops(spark, p).select("seq", "u", "v", "weight")
+    labels, quality = control_leiden(updates.merge(updates.empty_edges(spark), ops), sbm.truth_labels(spark, p))
+    assert quality > 0.9 and labels.count() <= 36
+
+
 def test_coreset_matrix_checks(spark):
     with pytest.raises(IndexFailure):
         coreset.check_matrix(spark.createDataFrame([(0, 0, 1, -1.0)], "trial int, i int, j int, a double"))

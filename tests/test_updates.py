@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from grafold.functions.errors import IndexFailure, InvalidInput, InvalidWeight
 from grafold.functions.scalars import trial_seed
@@ -91,6 +92,10 @@ def test_look_ups(spark):
     batch = spark.createDataFrame([(0, 1), (1, 3)], "pos int, node long")
     assert rows(neighbours.induced(batch, triangle)) == [(0, 1, 3, 1, 2.0), (1, 3, 1, 0, 2.0)]
     assert rows(neighbours.fold(sources, targets, edges)) == [(1, 2, 5.0)]
+    with pytest.raises(Exception, match="unknown node 9"):
+        neighbours.neighbourhoods(spark.createDataFrame([(0, 1), (1, 9)], "pos int, node long"), edges).count()
+    assert rows(neighbours.visit(sources, targets, edges, F.max("weight").alias("most"))) == [(1, 3.0)]
+    assert rows(neighbours.neighbours_of(edges, 4)) and tuple(neighbours.size_volume(updates.degrees(edges)).first())[0] > 2
     assert neighbours.edge_weight(edges, 4, 1) == 3.0 and neighbours.edge_weight(edges, 2, 3) is None and neighbours.degree(edges, 1) == 6.0
     with pytest.raises(IndexFailure):
         neighbours.require_live(spark.createDataFrame([(9,)], "node long"), edges)
