@@ -213,9 +213,10 @@ def _signed(k: int, plan: Plan):
             mine = first[doc]
             rows, sig, role = signatures(plan, doc[mine], h[mine], np.where(first, n, 0))
             stays, near, far = _crowded(sig, of[rows], role)
-            yield pa.RecordBatch.from_arrays([pa.array(sig[stays].view(np.int64)), pa.array(of[rows][stays]), pa.array(role[stays].astype(np.int8)), pa.nulls(int(stays.sum()), pa.int64())], ["sig", "set_id", "role", "to"])
-            if len(near):
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(near), pa.int64()), pa.array(near), pa.nulls(len(near), pa.int8()), pa.array(far)], ["sig", "set_id", "role", "to"])
+            # A link is a bucket of its own.
+            own = T.mix64(T.mix64(near.view(np.uint64)) + far.view(np.uint64))
+            sig, role = np.concatenate([sig[stays], own, own]), np.concatenate([role[stays], np.full(2 * len(own), _INDEX + _PROBE)])
+            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(np.concatenate([of[rows][stays], near, far])), pa.array(role.astype(np.int8))], ["sig", "set_id", "role"])
 
     return run
 
@@ -235,56 +236,60 @@ def _crowded(sig: np.ndarray, of: np.ndarray, role: np.ndarray) -> tuple[np.ndar
     return stays, pairs[:, 0], pairs[:, 1]
 
 
-def _token_counts(k: int):
-    def run(batches):
-        for _, w in _batches(batches, "text"):
-            _, h, _ = T.shingle_sets(w, k)
-            token, n = np.unique(h, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n, pa.int64())], ["token", "n"])
+def _sets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, shingle, size of each row's set) of a column of sets."""
+    sets = [np.frombuffer(x, np.uint64) for x in batch.column("tokens").to_pylist()]
+    n = np.array([len(x) for x in sets], np.int64)
+    return np.repeat(np.arange(len(n)), n), np.concatenate([*sets, np.zeros(0, np.uint64)]), n
 
-    return run
+
+def _token_counts(batches):
+    for batch in batches:
+        for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+            token, n = np.unique(_sets(part)[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n, pa.int64())], ["token", "n"])
 
 
-def _prefixes(k: int, plan: Plan, frequent: np.ndarray):
+def _prefixes(plan: Plan, frequent: np.ndarray):
     """Rows (pool, token, set_id) of the shingles of which linked sets share one, and links (set_id, to) of
     those that meet within a chunk. ``frequent`` lists shingles by falling number."""
     by_hash = np.argsort(frequent)
     held = frequent[by_hash]
 
     def run(batches):
-        for part, w in _batches(batches, "text"):
-            doc, h, n = T.shingle_sets(w, k)
-            of, pool = T.distinct_hash(doc, h, w.n_docs).view(np.int64), part.column("pool").to_numpy()
-            rank = np.zeros(len(h), np.int64)
-            if len(held):
-                at = np.minimum(np.searchsorted(held, h), len(held) - 1)
-                rank = np.where(held[at] == h, len(held) - by_hash[at], 0)
-            order = np.lexsort((h, rank, doc))
-            first = np.concatenate([[0], np.cumsum(n)])[doc]
-            own = (part.column("set_id").to_numpy() == of)[doc]
-            keep = order[(np.arange(len(h)) - first < (n - plan.overlap(n) + 1)[doc]) & own]
-            d, token = doc[keep], h[keep]
-            order = np.lexsort((of[d], token, pool[d]))
-            d, token = d[order], token[order]
-            begins = np.concatenate([[True], (token[1:] != token[:-1]) | (pool[d[1:]] != pool[d[:-1]])]) if len(d) else np.zeros(0, bool)
-            lead = d[np.flatnonzero(begins)][np.cumsum(begins) - 1] if len(d) else d
-            pairs = np.unique(np.stack([of[d], of[lead]], axis=1), axis=0)
-            pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-            d, token = d[begins], token[begins]
-            none = pa.nulls(len(d), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(pool[d]), pa.array(token.view(np.int64)), pa.array(of[d]), none], ["pool", "token", "set_id", "to"])
-            none = pa.nulls(len(pairs), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["pool", "token", "set_id", "to"])
+        for batch in batches:
+            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+                doc, h, n = _sets(part)
+                of, pool = part.column("set_id").to_numpy(), part.column("pool").to_numpy()
+                rank = np.zeros(len(h), np.int64)
+                if len(held):
+                    at = np.minimum(np.searchsorted(held, h), len(held) - 1)
+                    rank = np.where(held[at] == h, len(held) - by_hash[at], 0)
+                order = np.lexsort((h, rank, doc))
+                first = np.concatenate([[0], np.cumsum(n)])[doc]
+                keep = order[np.arange(len(h)) - first < (n - plan.overlap(n) + 1)[doc]]
+                d, token = doc[keep], h[keep]
+                order = np.lexsort((of[d], token, pool[d]))
+                d, token = d[order], token[order]
+                begins = np.concatenate([[True], (token[1:] != token[:-1]) | (pool[d[1:]] != pool[d[:-1]])]) if len(d) else np.zeros(0, bool)
+                lead = d[np.flatnonzero(begins)][np.cumsum(begins) - 1] if len(d) else d
+                pairs = np.unique(np.stack([of[d], of[lead]], axis=1), axis=0)
+                pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+                d, token = d[begins], token[begins]
+                none = pa.nulls(len(d), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(pool[d]), pa.array(token.view(np.int64)), pa.array(of[d]), none], ["pool", "token", "set_id", "to"])
+                none = pa.nulls(len(pairs), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["pool", "token", "set_id", "to"])
 
     return run
 
 
-def _smaller_pools(docs: DataFrame, members: DataFrame, k: int, plan: Plan) -> DataFrame:
-    """members(set_id, pool, doc_id) of large pools -> (set_id, pool): the pools that the second filter leaves."""
-    texts = docs.join(members.select("doc_id", "set_id", "pool"), "doc_id")
-    counts = texts.select("text").mapInArrow(_token_counts(k), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 1")
+def _smaller_pools(members: DataFrame, tokens: DataFrame, plan: Plan) -> DataFrame:
+    """members(set_id, pool) of large pools -> (set_id, pool): the pools that the second filter leaves."""
+    sets = members.select("set_id", "pool").join(tokens, "set_id").select("set_id", "pool", "tokens")
+    counts = sets.select("tokens").mapInArrow(_token_counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 1")
     frequent = np.array([r["token"] for r in counts.orderBy(F.desc("n"), "token").limit(FREQUENT).select("token").collect()], np.int64).view(np.uint64)
-    rows = texts.mapInArrow(_prefixes(k, plan, frequent), "pool long, token long, set_id long, to long")
+    rows = sets.mapInArrow(_prefixes(plan, frequent), "pool long, token long, set_id long, to long")
     rows = rows.withColumn("to", F.coalesce("to", F.min("set_id").over(Window.partitionBy("pool", "token"))))
     stars = rows.where("to <> set_id").select(F.col("set_id").alias("a"), F.col("to").alias("b")).distinct()
     return components(cut(stars)).select(F.col("id").alias("set_id"), F.col("root").alias("pool"))
@@ -377,24 +382,26 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) ->
     classes = sized.where("n_shingles > 0").groupBy("set_id").agg(F.min(F.struct("doc_id", "other")).alias("s"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"))
     classes = cut(classes.select("set_id", "s.doc_id", "s.other", "copies", "n"))
 
-    rows = docs.mapInArrow(_signed(k, plan), "sig long, set_id long, role byte, to long")
+    rows = docs.mapInArrow(_signed(k, plan), "sig long, set_id long, role byte")
     bucket = Window.partitionBy("sig")
     of = lambda bit: F.col("role").bitwiseAND(bit) > 0
-    met = rows.where("sig is not null").withColumns({"held": F.min(F.when(of(_INDEX), F.col("set_id"))).over(bucket), "asks": F.min(F.when(of(_PROBE), F.col("set_id"))).over(bucket)})
-    met = met.where("held is not null and asks is not null").select("set_id", F.explode(F.array(F.when(of(_PROBE), F.col("held")), F.when(of(_INDEX), F.col("asks")))).alias("to"))
-    stars = met.union(rows.where("sig is null").select("set_id", "to"))
+    rows = rows.withColumns({"held": F.min(F.when(of(_INDEX), F.col("set_id"))).over(bucket), "asks": F.min(F.when(of(_PROBE), F.col("set_id"))).over(bucket)})
+    stars = rows.where("held is not null and asks is not null").select("set_id", F.explode(F.array(F.when(of(_PROBE), F.col("held")), F.when(of(_INDEX), F.col("asks")))).alias("to"))
     stars = cut(stars.where("to <> set_id").select(F.col("set_id").alias("a"), F.col("to").alias("b")).distinct())
     maybe = components(stars).select(F.col("id").alias("set_id"), F.col("root").alias("pool"))
-    members = cut(maybe.join(classes, "set_id"))
+    members = cut(maybe.join(classes, "set_id").drop("other"))
+    # The sets of all members, once; a class is read from its smallest document.
+    texts = docs.join(members.select("doc_id"), "doc_id", "left_semi").mapInArrow(_with_tokens(k), "doc_id long, set_id long, tokens binary")
+    tokens = cut(members.select("doc_id", "set_id").join(texts.dropDuplicates(["doc_id", "set_id"]), ["doc_id", "set_id"]).select("set_id", "tokens"))
     sizes = members.groupBy("pool").agg(((F.count("*") > TILE_DOCS) | (F.sum("n") > TILE_SHINGLES)).alias("large"))
     large = cut(members.join(sizes.where("large"), "pool", "left_semi"))
     if not large.isEmpty():
-        parted = _smaller_pools(docs, large, k, plan).join(classes, "set_id")
+        parted = _smaller_pools(large, tokens, plan).join(classes, "set_id").drop("other")
         members = cut(members.join(sizes.where("large"), "pool", "left_anti").unionByName(parted))
 
     # Tiles: by size class (a partner is in the same class or the next), then by hash.
     step = np.log(den / num)
-    members = cut(members.drop("other").withColumn("sc", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(step)) + 1e-9).cast("int")))
+    members = cut(members.withColumn("sc", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(step)) + 1e-9).cast("int")))
     blocks = members.groupBy("pool", "sc").agg(F.greatest(F.ceil(F.count("*") / TILE_DOCS), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("nb"), F.count("*").alias("c"), F.sum("n").alias("sn"))
     blocks = cut(blocks)
     small = blocks.groupBy("pool").agg(((F.sum("c") <= TILE_DOCS) & (F.sum("sn") <= TILE_SHINGLES)).alias("small"))
@@ -414,9 +421,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) ->
         F.transform(each("below"), lambda j: tile(sc - 1, j, sc, i, 1)),
     )
     tiles = placed.select("doc_id", "set_id", "copies", "pool", F.explode(F.when(F.col("small"), one).otherwise(many)).alias("t")).select("doc_id", "set_id", "copies", "pool", "t.*")
-    texts = docs.join(members.select("doc_id"), "doc_id", "left_semi")
-    tokens = texts.mapInArrow(_with_tokens(k), "doc_id long, set_id long, tokens binary").dropDuplicates(["doc_id", "set_id"])
-    found = cut(tiles.join(tokens, ["doc_id", "set_id"]).select("pool", "lo", "i", "hi", "j", "side", "set_id", "copies", "tokens").groupBy("pool", "lo", "i", "hi", "j").applyInArrow(_verify(plan), "set_id long, root long, links long"))
+    found = cut(tiles.join(tokens, "set_id").select("pool", "lo", "i", "hi", "j", "side", "set_id", "copies", "tokens").groupBy("pool", "lo", "i", "hi", "j").applyInArrow(_verify(plan), "set_id long, root long, links long"))
 
     groups = components(found.where("set_id <> root").select(F.col("set_id").alias("a"), F.col("root").alias("b")))
     # Hashes stand for classes; a component's id is its smallest doc_id.
