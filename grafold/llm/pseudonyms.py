@@ -7,9 +7,11 @@ below N, permuted in 0..N-1 by a keyed Feistel network over two halves (cycle-wa
 and written back in the same format: same length, letter case, separators; check digits are computed
 anew, so pseudonyms validate as their values did. The key and the kind of value fix the permutation:
 equal values get equal pseudonyms in every document and format (a card with or without spaces is one
-number), different values different ones; only the holder of the key can go back (``reveal``).
+number, but month-first dates), different values different ones; only the holder of the key can go back (``reveal``).
 
-Domains of e-mail addresses are permuted but for their last label. A number that fails its validation
+A date of two-digit parts is day first, or month first where only that can be meant; the latter are
+permuted among themselves, so their order of parts stays plain. Four numbers after "version" or "release"
+are no address. Domains of e-mail addresses are permuted but for their last label. A number that fails its validation
 is left alone. Results on odd input: null text stays null, empty stays empty; repeated rows are each
 rewritten alike; extra columns are kept; an empty table gives an empty result; texts are scanned whole.
 """
@@ -137,9 +139,11 @@ def _email(value: str, key: bytes, ahead: bool) -> str:
     return f"{_swap(head, 'email', key, ahead)}.{last}"
 
 
-def _phone(value: str, key: bytes, ahead: bool) -> str:
+def _phone(value: str, key: bytes, ahead: bool) -> str | None:
     digits = re.sub(r"\D", "", value)
-    code = digits[:-10] if len(digits) > 10 else ""
+    if not 8 <= len(digits) <= 15:
+        return None
+    code = digits[:-10] if len(digits) > 10 else re.match(r"\d{0,3}", value[1:])[0] if value[0] == "+" else ""
     return _relaid(code + _swap(digits[len(code) :], "phone", key, ahead), value)
 
 
@@ -194,12 +198,16 @@ def _date(value: str, key: bytes, ahead: bool) -> str | None:
 
     parts = re.split(r"[-/.]", value)
     at = (0, 1, 2) if len(parts[0]) == 4 else (2, 1, 0)  # year first, or day first
+    if at[0] and int(parts[1]) > 12:
+        at = (2, 0, 1)  # only month first can be meant
     y, m, d = (int(parts[i]) for i in at)
     if not (_FIRST_YEAR <= y <= _LAST_YEAR and 1 <= m <= 12 and 1 <= d <= calendar.monthrange(y, m)[1]):
         return None
     perm = Feistel(key, "date", date(_LAST_YEAR, 12, 31).toordinal() - _day_one() + 1)
-    x = date(y, m, d).toordinal() - _day_one()
-    new = date.fromordinal(_day_one() + (perm.forward(x) if ahead else perm.backward(x)))
+    turn = perm.forward if ahead else perm.backward
+    new = date.fromordinal(_day_one() + turn(date(y, m, d).toordinal() - _day_one()))
+    while at == (2, 0, 1) and new.day <= 12:  # walked on to a day that shows the order of the parts
+        new = date.fromordinal(_day_one() + turn(new.toordinal() - _day_one()))
     text = (f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}")
     out = [""] * 3
     for i, t in zip(at, text, strict=True):
@@ -219,16 +227,16 @@ _TURN: dict[str, Callable[[str, bytes, bool], str | None]] = {
     "secret": lambda v, key, ahead: _swap(v, "secret", key, ahead, True) if not (re.search("[a-f]", v) and re.search("[A-F]", v)) else _swap(v, "secret", key, ahead),
 }
 _EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])")
-_HEX = re.compile(r"(?<![A-Za-z0-9])(?=[A-Fa-f0-9]*[A-Fa-f])(?=[A-Fa-f0-9]*[0-9])[A-Fa-f0-9]{32,128}(?![A-Za-z0-9])")
+_HEX = re.compile(r"(?<![A-Za-z0-9])(?=[A-Fa-f0-9]*[A-Fa-f])(?=[A-Fa-f0-9]*[0-9])[A-Fa-f0-9]{32,}(?![A-Za-z0-9])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])")
 #: Starts at a digit (or + or bracket): tried in this order at each place.
 _NUMBER = re.compile(
     r"(?<![A-Za-z0-9@+])(?:"
-    r"(?P<ip>\d{1,3}(?:\.\d{1,3}){3}(?![.]?\d))"
+    r"(?P<ip>(?<![.\d])(?<!ersion )(?<!elease )\d{1,3}(?:\.\d{1,3}){3}(?![.]?\d))"
     r"|(?P<date>(?:(?:19|20)\d\d(?P<m1>[-/.])\d\d(?P=m1)\d\d|\d\d(?P<m2>[-/.])\d\d(?P=m2)(?:19|20)\d\d)(?![-/.]?\d))"
     r"|(?P<ssn>\d{3}-\d\d-\d{4}(?![-]?\d))"
     r"|(?P<card>\d{13,19}(?!\d)|\d{4}(?:(?P<m3>[ -])\d{4})(?:(?P=m3)\d{4}){2}(?!\d)|\d{4}(?P<m4>[ -])\d{6}(?P=m4)\d{5}(?!\d))"
-    r"|(?P<phone>(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|\+\d{10,14}(?!\d))"
+    r"|(?P<phone>(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|\+\d{10,14}(?!\d)|\+\d{1,3}(?:[ .-](?:\(\d{1,5}\)|\d{2,5})){2,5}(?!\d))"
     r")(?![A-Za-z])"
 )
 
