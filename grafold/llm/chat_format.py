@@ -3,14 +3,17 @@
 A layout is the set of nested field paths of a record (``messages[].role``, ``instruction``, ...). Its
 fingerprint is a hash of the sorted paths, and ``LAYOUTS`` maps fingerprints to SQL expressions that
 give ``array<struct<role, text>>``. ``canonical_turns`` takes the layout from a table's schema;
-``canonical_json`` takes it from each JSON record, so one column may mix layouts. ``turns_of_rows``
+``canonical_json`` takes it from the keys that each JSON record itself holds, down to those of the objects
+in its lists, so one column may mix layouts; a record with a key that no layout names has none. ``turns_of_rows``
 takes layouts with one row for each turn, which ``ROW_LAYOUTS`` maps by the same fingerprints.
 
 The template writes a turn as ``### <role>: <text> </turn>`` and a newline, with
 ``\\`` -> ``\\b``, ``###`` -> ``\\h``, ``</turn>`` -> ``\\e`` inside texts and roles (and ``:`` -> ``\\c``
 in roles), so control strings stand nowhere but at turns, and reading back is exact.
 
-Results on odd input: null text or role is empty; a repeated (conversation, turn) is kept, ordered by
+Results on odd input: a field that is there counts, also where its value is null; in lists of objects the
+keys of all count together, and an empty list has its own path alone, which no layout names. Null text or
+role is empty; a conversation of any length is one row, its texts whole; a repeated (conversation, turn) is kept, ordered by
 turn, role, text; a null turn comes first and a null conv_id is a conversation of its own; a record of
 no known layout has null turns (``canonical_turns`` raises); extra columns are ignored; an empty table
 gives an empty result.
@@ -99,10 +102,13 @@ def canonical_json(table: DataFrame, column: str) -> DataFrame:
     """JSON records of mixed layouts -> the table's columns, ``layout`` (fingerprint) and ``turns``."""
     parsed = F.from_json(F.col(column), _JSON_SCHEMA)
     row = table.select("*", parsed.alias("_r"))
-    has = lambda path, name: F.when(F.col(f"_r.{name}").isNotNull(), F.lit(path))
-    paths = sorted({p for declared, _ in _DECLARED for p in declared})
-    present = F.array_compact(F.array(*(has(p, p.split("[")[0]) for p in paths)))
-    row = row.withColumn("layout", F.md5(F.concat_ws("\n", F.array_sort(present))))
+    # Keys of the record; for a list the keys of its objects under its own.
+    fields = F.from_json(F.col(column), "map<string,string>")
+    items = lambda value: F.from_json(value, "array<map<string,string>>")
+    inner = lambda key, value: F.transform(F.array_distinct(F.flatten(F.transform(items(value), lambda m: F.coalesce(F.map_keys(m), F.array().cast("array<string>"))))), lambda k: F.concat(key, F.lit("[]."), k))
+    of = lambda e: F.when(F.coalesce(F.startswith(F.ltrim(e["value"]), F.lit("[")), F.lit(False)) & (F.size(F.coalesce(inner(e["key"], e["value"]), F.array().cast("array<string>"))) > 0), inner(e["key"], e["value"])).otherwise(F.array(e["key"]))
+    paths = F.flatten(F.transform(F.map_entries(fields), of))
+    row = row.withColumn("layout", F.md5(F.concat_ws("\n", F.array_sort(paths))))
     turns = F.lit(None).cast(_TURNS)
     for mark, said in LAYOUTS.items():
         turns = F.when(F.col("layout") == mark, F.expr(said.replace("{r}", "_r.")).cast(_TURNS)).otherwise(turns)

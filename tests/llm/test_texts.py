@@ -1,5 +1,6 @@
 """Operators on single texts: tiling, pseudonyms, chat formats, pieces, token counts, language."""
 
+import datetime
 import hashlib
 import json
 import math
@@ -122,6 +123,71 @@ def test_pseudonyms():
     assert pseudonyms.Pseudonymiser(b"other").text(TEXTS[2])[0] != ahead.text(TEXTS[2])[0]
 
 
+def _valid(kind, value):
+    """Validity by rules written apart from the module's."""
+    digits = [int(c) for c in value if c.isdigit()]
+    if kind == "card":
+        return sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits[::-1])) % 10 == 0
+    if kind == "iban":
+        plain = value.replace(" ", "")
+        rest = 0
+        for c in plain[4:] + plain[:4]:
+            rest = int(str(rest) + str(int(c, 36))) % 97
+        return rest == 1
+    if kind == "ip":
+        return all(int(x) < 256 for x in value.split("."))
+    if kind in ("iso", "day", "month"):
+        datetime.datetime.strptime(value, {"iso": "%Y-%m-%d", "day": "%d.%m.%Y", "month": "%m/%d/%Y"}[kind])
+        return True
+    if kind == "ssn":
+        a, b, c = value.split("-")
+        return a not in ("000", "666") and a < "900" and b != "00" and c != "0000"
+    return True
+
+
+def test_pseudonyms_of_many_values():
+    """Every kind: valid, of the same format, one to one over all values drawn, and back again."""
+    rng, day = random.Random(11), lambda: datetime.date(1900, 1, 1) + datetime.timedelta(days=rng.randrange(73000))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+
+    def card():
+        body = [rng.randrange(10) for _ in range(15)]
+        return next(t for t in ("".join(map(str, [4, *body[1:], d])) for d in range(10)) if _valid("card", t))
+
+    def iban():
+        body = "".join(rng.choice("0123456789") for _ in range(18))
+        return next(t for t in (f"DE{c:02d}{body}" for c in range(2, 99)) if _valid("iban", t))
+
+    def late():
+        return next(d for d in iter(day, None) if d.day > 12)
+
+    make = {
+        "email": lambda: f"{''.join(rng.choices(letters, k=6))}@{''.join(rng.choices(letters, k=5))}.org",
+        "phone": lambda: rng.choice(["+44 20 %04d %04d", "(020) %03d-%04d", "+49 30 %03d %04d"]) % (rng.randrange(100, 1000), rng.randrange(1000, 10000)),
+        "ip": lambda: ".".join(str(rng.randrange(256)) for _ in range(4)),
+        "card": card,
+        "iban": iban,
+        "ssn": lambda: f"{rng.randrange(1, 666):03d}-{rng.randrange(1, 100):02d}-{rng.randrange(1, 10000):04d}",
+        "iso": lambda: day().isoformat(),
+        "day": lambda: day().strftime("%d.%m.%Y"),
+        "month": lambda: late().strftime("%m/%d/%Y"),
+        "secret": lambda: "".join(rng.choices("0123456789abcdef", k=rng.choice([32, 40, 256]))),
+    }
+    ahead, back = pseudonyms.Pseudonymiser(b"k2"), pseudonyms.Pseudonymiser(b"k2", False)
+    shape = lambda t: re.sub("[a-z]", "a", re.sub("[0-9]", "0", t))
+    for kind, draw in make.items():
+        found = {}
+        for value in {draw() for _ in range(150)}:
+            new, counts = ahead.text(f"see {value} there")
+            got = new[4:-6]
+            assert sum(counts.values()) == 1 and back.text(new)[0] == f"see {value} there", (kind, value, new)
+            assert _valid(kind, got) and (kind in ("ip", "secret") or shape(got) == shape(value)) and (kind != "secret" or len(got) == len(value)), (kind, value, got)
+            found[got] = value
+        assert len(found) >= 140 and sum(a == b for a, b in found.items()) < 3
+    for t in ("in version 1.2.3.4 of it", "13/13/2020", "+1 2", "deadbeef"):
+        assert ahead.text(t)[0] == t
+
+
 def test_pseudonymise_table(spark):
     rows = [(i, t, 1) for i, t in enumerate([*TEXTS, None, "", "x" * 200_000 + " 17.2.3.255"])]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_email int")
@@ -138,6 +204,11 @@ def test_chat_layouts(spark):
     df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(recs)], "id int, j string")
     got = [r["turns"] and [tuple(t) for t in r["turns"]] for r in chat_format.canonical_json(df, "j").orderBy("id").collect()]
     assert got == [[("user", "hi")], [("user", "a"), ("assistant", "b")], [("user", "do\nx"), ("assistant", "y")], [("user", "do"), ("assistant", "y")], [("system", "s"), ("user", "p"), ("assistant", "r")], None]
+    # What a record holds counts: keys of other layouts and extra keys give none, null values do not hide a key.
+    odd = [{"messages": [{"from": "human", "value": "lost"}]}, {"prompt": "p", "response": "r", "context": "c"}, {"prompt": "p", "completion": None}, {"messages": []}, {"messages": [{"role": "user", "content": "a"}, {"role": "x", "content": None}]}, [], None, "{"]
+    df2 = spark.createDataFrame([(i, r if r in (None, "{") else json.dumps(r)) for i, r in enumerate(odd)], "id int, j string")
+    got = [r["turns"] and [tuple(t) for t in r["turns"]] for r in chat_format.canonical_json(df2, "j").orderBy("id").collect()]
+    assert got == [None, None, [("user", "p"), ("assistant", None)], None, [("user", "a"), ("x", None)], None, None, None]
     table = spark.createDataFrame([("do", None, "y")], "instruction string, input string, output string")
     assert [tuple(t) for t in chat_format.canonical_turns(table).first()["turns"]] == [("user", "do"), ("assistant", "y")]
     with pytest.raises(ValueError):
