@@ -436,3 +436,21 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) ->
 
 def op1_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, 90, 100)
+
+
+#: DuckDB. Words as lists, shingles as texts; intersections by a join on shingles, components by reach.
+OP1_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM words
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1
+), meets AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS n_both FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (SELECT u, v FROM meets JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v WHERE 100 * n_both >= 90 * (x.n + y.n - n_both)
+), ways AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links
+), reach(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT k.v, r.root FROM reach r JOIN ways k ON k.u = r.doc_id)
+SELECT d.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(r.root) AS component_id, (SELECT count(*) FROM ways w WHERE w.u = d.doc_id) AS n_links
+FROM documents d JOIN reach r ON r.doc_id = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id GROUP BY d.doc_id
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from grafold.llm.additive_ann import op7_additive_ann
 from grafold.llm.chat_format import OP5_SQL, op5_chat_format
 from grafold.llm.decontaminate import op3_decontaminate
-from grafold.llm.jaccard_join import op1_jaccard_join
+from grafold.llm.jaccard_join import OP1_SQL, op1_jaccard_join
 from grafold.llm.language_id import op10_language_id
 from grafold.llm.line_dedup import OP2_SQL, op2_line_dedup
 from grafold.llm.passage_dedup import op8_passage_dedup
@@ -14,7 +14,6 @@ from grafold.llm.pseudonyms import op4_pseudonyms
 from grafold.llm.token_counts import op9_token_counts
 
 
-
 def pipeline(spark, sf_dir: str):
     """All rows of the corpus pipeline, which stands at the top of the repository."""
     import corpus_pipeline
@@ -35,4 +34,4 @@ QUERIES = {
     "op10_language_id": op10_language_id,
     "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op5_chat_format": OP5_SQL}
+ORACLES: dict[str, str] = {"op1_jaccard_join": OP1_SQL, "op2_line_dedup": OP2_SQL, "op5_chat_format": OP5_SQL}

@@ -99,8 +99,16 @@ def brute_lines(texts, least, docs):
     return sorted(out)
 
 
-@pytest.mark.parametrize("batches", [1, 3, 9])
-def test_line_dedup(spark, batches):
+@pytest.mark.parametrize(("batches", "adaptive"), [(1, "false"), (3, "true"), (9, "false")])
+def test_line_dedup(spark, batches, adaptive):
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        _line_dedup(spark, batches)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+
+
+def _line_dedup(spark, batches):
     rng = random.Random(5)
     pool = ["Line number %d with some forty characters in all" % i for i in range(30)] + ["short", "", "  É umlaut line that is exactly as long as need be  "]
     texts = [(i, None if i % 17 == 0 else "\n".join(rng.choice([x, x.upper(), f"\t{x} "]) for x in rng.choices(pool, k=rng.randrange(8)))) for i in range(60)]
@@ -240,6 +248,31 @@ def test_uneven_edits_against_all_windows():
     assert outcomes == {True, False}
 
 
+def test_periodic_passages_against_all_windows():
+    """Repeated blocks, edited, cut and continued: a passage is found where there is one."""
+    rng = np.random.default_rng(14)
+    outcomes = []
+    for case in range(60):
+        block = rng.integers(0, 6 if case % 2 else 1 << 50, int(rng.integers(1, 20))).astype(np.uint64)
+        sides = []
+        for _ in range(2):
+            own = block.copy()
+            for _ in range(case % 4):
+                own[rng.integers(0, len(own))] = rng.integers(0, 1 << 50)
+            x = np.tile(own, 60)[: int(rng.integers(46, 58))]
+            if case % 3:
+                x[rng.integers(0, len(x))] = rng.integers(0, 1 << 50)
+            sides.append(np.concatenate([rng.integers(0, 1 << 50, int(rng.integers(0, 5))).astype(np.uint64), x, rng.integers(0, 1 << 50, int(rng.integers(0, 5))).astype(np.uint64)]))
+        a, b = sides
+        got = _verified(a, b)
+        for i, n, j, m, s in got:
+            x, y = set(a[i : i + n].tolist()), set(b[j : j + m].tolist())
+            assert min(n, m) >= 46 and s >= 0.8 and abs(len(x & y) / len(x | y) - s) < 1e-9
+        outcomes.append(bool(got))
+        assert bool(got) == _holds_passage(a, b, most=70), case
+    assert 10 < sum(outcomes) < 55
+
+
 def test_recall_of_near_copies_and_of_repeats_with_shared_phrases(spark):
     rng = random.Random(12)
     fresh = lambda n: ["w%d" % rng.randrange(10**7) for _ in range(n)]
@@ -379,7 +412,7 @@ def test_pages_of_one_template_part_before_the_tiles(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "TILE_DOCS", 16)
     pools = []
     inner = jaccard_join._smaller_pools
-    monkeypatch.setattr(jaccard_join, "_smaller_pools", lambda docs, members, k, plan: pools.append((members.count(), inner(docs, members, k, plan))) or pools[-1][1])
+    monkeypatch.setattr(jaccard_join, "_smaller_pools", lambda members, *rest: pools.append((members.count(), inner(members, *rest))) or pools[-1][1])
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard_join.jaccard_groups(df, 5, 8, 10).collect()}
     assert got == brute_groups(list(enumerate(texts)), 5, 8, 10)
