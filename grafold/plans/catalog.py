@@ -605,3 +605,41 @@ def query_all_trials(spark, sf):
 def consensus_query(spark, sf):
     index = _index(spark, sf, TRIALS)
     return index.score_pairs(index.edges.select(F.col("src").alias("u"), F.col("dst").alias("v")))
+
+
+# Whole queries with a clusterer and two seeds that SQL can follow: labels go round by the order of the coreset
+
+BY_ORDER = SAMPLER.replace(f"{_h("'label'", "trial", "node")} % {LABELS} AS label", f"(row_number() OVER (PARTITION BY trial ORDER BY first) - 1) % {LABELS} AS label")
+
+
+def _round(n, i, j, a, k):
+    import numpy as np
+
+    return np.arange(n) % 64
+
+
+def _followed(spark, sf) -> GraphIndex:
+    config = IndexConfig(8, sigma=SIGMA, coreset_size=SIZE, sampling_seeds=2, num_trials=TRIALS, rng_seed=SEED)
+    return GraphIndex(spark, config, clusterer=_round, edges=cut(_graph(spark, sf)))
+
+
+@query(BY_ORDER + "SELECT trial, pos, node, label, round(score, 6) AS score FROM projected")
+def index_all_trials(spark, sf):
+    return _r(_followed(spark, sf).query_all_trials().labels, "score")
+
+
+@query(BY_ORDER + "SELECT pos, node, label FROM projected WHERE trial = (SELECT trial FROM scores ORDER BY total_score, trial LIMIT 1)")
+def index_winner(spark, sf):
+    return _followed(spark, sf).query_all().labels
+
+
+@query(
+    BY_ORDER
+    + """, x AS (SELECT trial, exp(-(total_score - (SELECT min(total_score) FROM scores)) / greatest((SELECT stddev_pop(total_score) FROM scores), 1e-12)) AS w FROM scores
+), wt AS (SELECT trial, w / sum(w) OVER () AS weight FROM x)
+SELECT e.src AS u, e.dst AS v, round(sum(CASE WHEN a.label = b.label THEN wt.weight ELSE 0 END), 5) AS score
+FROM e JOIN projected a ON a.node = e.src JOIN projected b ON b.node = e.dst AND b.trial = a.trial JOIN wt ON wt.trial = a.trial GROUP BY 1, 2"""
+)
+def index_consensus(spark, sf):
+    index = _followed(spark, sf)
+    return _r(index.score_pairs(index.edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))), "score", digits=5)
