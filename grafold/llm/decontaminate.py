@@ -10,8 +10,8 @@ be in order, a passage whose sentences were moved about is still covered.
 Documents and items meet in a join on seeds, which is complete. A pair that covers enough of an item has
 ``threshold * words / MIN_MATCH`` of its seed places, so all but that number (less one) of an item's places
 are indexed, those of the seeds that the most items share being left out: a stem that thousands of items
-begin with forms no pairs, it only confirms them. A Bloom filter of the indexed seeds (``FILTER_BITS`` at
-most, 16 MB) keeps other seeds of the documents from the shuffle. Pairs are then tiled, ``GROUP`` items of
+begin with forms no pairs, it only confirms them. A Bloom filter of the indexed seeds (16 MB at
+most) keeps other seeds of the documents from the shuffle. Pairs are then tiled, ``GROUP`` items of
 one document at a time. An item shorter than ``MIN_MATCH`` words must occur entirely; its seed is the whole.
 
 Results on odd input: null or empty texts and items without words match nothing; repeated documents
@@ -34,7 +34,7 @@ from grafold.llm import textwords as T
 from grafold.operators.components import cut
 
 MIN_MATCH, THRESHOLD = 5, 0.5
-GROUP, FILTER_BITS = 64, 1 << 27
+GROUP = 64
 _B = np.uint64(0xA24BAED4963EE407)
 
 
@@ -119,41 +119,19 @@ def _item_seeds(least: int):
 
 def _doc_seeds(lengths: list[int], bits: np.ndarray):
     """The distinct seeds of each document that the filter knows."""
-    mask = np.uint64(len(bits) * 64 - 1)
-
-    def known(h: np.ndarray) -> np.ndarray:
-        out = np.ones(len(h), bool)
-        for x in (h & mask, (h >> np.uint64(28)) & mask):
-            out &= (bits[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63))) & np.uint64(1) > 0
-        return out
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, _, data, offsets in T.spans(batch.column("text")):
                 w = T.words(data, offsets, loose=True)
                 for k in lengths:
                     doc, h, _ = T.shingles(w, k, whole=False)
-                    hit = known(h)
+                    hit = T.in_bloom(bits, h)
                     pairs = np.unique(np.stack([doc[hit].astype(np.uint64), h[hit]], axis=1), axis=0)
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(pairs[:, 0].astype(np.int64) + first)), pa.array(pairs[:, 1].view(np.int64))], ["doc_id", "seed"])
 
     return run
 
 
-def _filter(seeds: DataFrame) -> np.ndarray:
-    """The Bloom filter of a table of seeds, as 64-bit words; made on the executors."""
-    n = seeds.count()
-    size = 1 << 16
-    while size < min(16 * n, FILTER_BITS):
-        size *= 2
-    at = F.explode(F.array(F.col("seed").bitwiseAND(size - 1), F.shiftright("seed", 28).bitwiseAND(size - 1)))
-    marked = seeds.select(at.alias("x")).groupBy(F.shiftright("x", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(x & 63 as int))")).alias("bits"))
-    out = np.zeros(size >> 6, np.uint64)
-    for r in marked.toLocalIterator():
-        out[r["word"]] = np.int64(r["bits"]).view(np.uint64)
-    return out
-
-
 def _tiled(least: int, threshold: float):
     """The contaminated ones of a document and some items."""
 
@@ -216,7 +194,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     by_rarity = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("held"), "seed", "place"))
     needed = F.ceil(F.lit(float(threshold)) * F.col("words") / F.col("k") - 1e-9)
     index = cut(seeds.join(shared, "seed").withColumn("rank", by_rarity).where(F.col("rank") >= needed).select("seed", "item").distinct())
-    met = docs.mapInArrow(_doc_seeds(lengths, _filter(index.select("seed").distinct())), "doc_id long, seed long").join(index, "seed")
+    met = docs.mapInArrow(_doc_seeds(lengths, T.bloom(index.select("seed").distinct())), "doc_id long, seed long").join(index, "seed")
     pairs = cut(met.select("doc_id", "item").distinct())
     of_doc = F.count("*").over(Window.partitionBy("doc_id"))
     pairs = pairs.withColumn("g", F.pmod(F.xxhash64("item"), F.ceil(of_doc / GROUP)))

@@ -16,6 +16,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Bytes of text and documents handled at once; a longer document is a chunk of its own.
 CHUNK_BYTES, CHUNK_DOCS = 1 << 20, 256
@@ -166,3 +168,30 @@ def distinct_hash(doc: np.ndarray, h: np.ndarray, n_docs: int) -> np.ndarray:
     edge = np.searchsorted(doc, np.arange(n_docs + 1))
     size = np.diff(edge).astype(np.uint64)
     return mix64((total[edge[1:]] - total[edge[:-1]]) ^ mix64(size * _BASE + _K))
+
+
+#: Bits of a Bloom filter at most: 16 MB. A larger set makes it less selective, never wrong.
+FILTER_BITS = 1 << 27
+
+
+def bloom(seeds: DataFrame) -> np.ndarray:
+    """The Bloom filter of a table(seed) of 64-bit hashes, as 64-bit words; made on the executors."""
+    n = seeds.count()
+    size = 1 << 16
+    while size < min(16 * n, FILTER_BITS):
+        size *= 2
+    at = F.explode(F.array(F.col("seed").bitwiseAND(size - 1), F.shiftright("seed", 28).bitwiseAND(size - 1)))
+    marked = seeds.select(at.alias("x")).groupBy(F.shiftright("x", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(x & 63 as int))")).alias("bits"))
+    out = np.zeros(size >> 6, np.uint64)
+    for r in marked.toLocalIterator():
+        out[r["word"]] = np.int64(r["bits"]).view(np.uint64)
+    return out
+
+
+def in_bloom(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether a filter may hold each of some hashes."""
+    mask = np.uint64(len(bits) * 64 - 1)
+    out = np.ones(len(h), bool)
+    for x in (h & mask, (h >> np.uint64(28)) & mask):
+        out &= (bits[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63))) & np.uint64(1) > 0
+    return out

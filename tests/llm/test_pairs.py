@@ -273,6 +273,16 @@ def test_periodic_passages_against_all_windows():
     assert 10 < sum(outcomes) < 55
 
 
+def test_very_common_shingles():
+    """Beyond the seeds that are all tried: long runs of one word, alone on both sides or shared in no run."""
+    a = np.concatenate([np.full(400, 7), np.arange(100, 160)]).astype(np.uint64)
+    b = np.concatenate([np.arange(300, 360), np.full(500, 7)]).astype(np.uint64)
+    (found,) = _verified(a, b)
+    assert found[4] >= 0.8 and found[1] >= 46 and found[3] >= 46
+    order = np.arange(2)
+    assert passage_dedup._runs(a, np.array([1, 2], np.uint64), np.array([1, 2], np.uint64), order) == []
+
+
 def test_recall_of_near_copies_and_of_repeats_with_shared_phrases(spark):
     rng = random.Random(12)
     fresh = lambda n: ["w%d" % rng.randrange(10**7) for _ in range(n)]
