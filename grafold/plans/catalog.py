@@ -339,7 +339,7 @@ def base_contribution(spark, sf):
 
 @query(SAMPLER + "SELECT trial, node, degree, round(f, 9) AS f, owner FROM state")
 def seed_repair(spark, sf):
-    return _r(_sampler(spark, sf)["state"], "f", digits=9)
+    return _r(_sampler(spark, sf)["state"].select("trial", "node", "degree", "f", "owner"), "f", digits=9)
 
 
 @query(SAMPLER + "SELECT trial, node, round(g, 9) AS g FROM mass")

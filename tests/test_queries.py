@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from grafold.functions.errors import GraphClusterError, IndexFailure, InvalidConfig, InvalidInput
 from grafold.operators import community, consensus, coreset, metrics, projection, sampling, updates
 from grafold.operators.components import components
+from grafold.plans import catalog
 from grafold.plans.index import GraphIndex, IndexConfig
 from grafold.operators.ids import NamedIndex
 from grafold.operators.metrics import default_sampling_seeds, expected_edges_per_node
@@ -443,3 +444,17 @@ def test_scaling_and_control(spark):
 def test_coreset_matrix_checks(spark):
     with pytest.raises(IndexFailure):
         coreset.check_matrix(spark.createDataFrame([(0, 0, 1, -1.0)], "trial int, i int, j int, a double"))
+
+
+def test_seed_repair_against_its_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(5)
+    lines = [(rng.randrange(1, 40), rng.randrange(1, 12)) for _ in range(300)]
+    spark.createDataFrame(lines, "l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = catalog.QUERIES["seed_repair"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    want = con.execute(catalog.ORACLES["seed_repair"])
+    assert got.columns == [c[0] for c in want.description]
+    key = lambda r: tuple(r)[:2]
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(want.fetchall(), key=key)
