@@ -283,6 +283,33 @@ def test_very_common_shingles():
     assert passage_dedup._runs(a, np.array([1, 2], np.uint64), np.array([1, 2], np.uint64), order) == []
 
 
+def test_runs_do_not_depend_on_the_number_of_equal_shingles(monkeypatch):
+    """All runs that lie within no other, against all pairs, and the same ones beside stretches of one shingle."""
+    rng = np.random.default_rng(8)
+
+    def runs(a, b):
+        order = np.argsort(b, kind="stable")
+        return passage_dedup._runs(a, b, b[order], order)
+
+    def longest(a, b, i, j):
+        n = 0
+        while max(i, j) + n < 60 and a[i + n] == b[j + n]:
+            n += 1
+        return n
+
+    for few in (256, 0):
+        monkeypatch.setattr(passage_dedup, "FEW", few, raising=False)
+        for values in (1, 2, 5, 40):
+            a, b = (rng.integers(0, values, 60).astype(np.uint64) for _ in range(2))
+            every = [(i, j, longest(a, b, i, j)) for i in range(60) for j in range(60) if a[i] == b[j] and (not i or not j or a[i - 1] != b[j - 1])]
+            x = np.array([(i, j, -i - n, -j - n) for i, j, n in every])
+            want = [r for r, y in zip(every, x, strict=True) if ((x <= y).all(1)).sum() == 1]
+            assert runs(a, b) == sorted(want)
+            same = np.full(300, 99)
+            wide = [np.concatenate([side, np.arange(k, k + 5), same]).astype(np.uint64) for side, k in ((a, 100), (b, 200))]
+            assert [r for r in runs(*wide) if r[0] < 60 and r[1] < 60] == sorted(want)
+
+
 def test_recall_of_near_copies_and_of_repeats_with_shared_phrases(spark):
     rng = random.Random(12)
     fresh = lambda n: ["w%d" % rng.randrange(10**7) for _ in range(n)]
