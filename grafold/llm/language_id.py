@@ -30,8 +30,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from grafold.llm import textwords as T
 
@@ -263,6 +265,7 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _predict(model: Model | None, known: bool = False):
+    """The classifier of a column text, or of the text within a column row where there is none."""
     sent = None
     if model is not None:  # only what is not 0 travels
         at = np.flatnonzero(np.abs(model.weights).max(axis=1))
@@ -275,12 +278,13 @@ def _predict(model: Model | None, known: bool = False):
             full[at] = w
             here = Model(langs, full, bias, temperature, np.unpackbits(seen).astype(np.float32))
         for batch in batches:
-            for first, last, _, _ in T.spans(batch.column("text")):
+            texts = batch.column("text") if "text" in batch.schema.names else pc.struct_field(batch.column("row"), "text")
+            for first, last, _, _ in T.spans(texts):
                 part = batch.slice(first, last - first)
                 rest = [c for c in part.schema.names if c != "text"]
                 lang, score, share = [UND] * part.num_rows, np.zeros(part.num_rows), np.zeros(part.num_rows)
                 if sent:
-                    p, n, share = here.score([t or "" for t in part.column("text").to_pylist()], known)
+                    p, n, share = here.score([t or "" for t in texts.slice(first, last - first).to_pylist()], known)
                     best = p.argmax(axis=1)
                     lang = [langs[b] if s else UND for b, s in zip(best, n, strict=True)]
                     score = np.where(n > 0, p[np.arange(len(best)), best], 0.0)
@@ -298,11 +302,13 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows whose text has letters and reaches the model's bars, with all their columns; none without a
-    model. The text goes through the classifier beside its row, so nothing is joined."""
+    model. The whole row goes through the classifier, its text once, so nothing is joined."""
     least, known = (model.least_score, model.least_known) if model else (1.0, 1.0)
     names = docs.columns
     kind = ", ".join(f"`{c}`: {docs.schema[c].dataType.simpleString()}" for c in names)
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("text").cast("string").alias("text"))
+    row = F.struct(*(F.col(f"`{c}`") for c in names)).alias("row")
+    plain = "text" in names and docs.schema["text"].dataType == StringType()
+    rows = docs.select(row) if plain else docs.select(row, F.col("text").cast("string").alias("text"))
     judged = rows.mapInArrow(_predict(model, True), f"row struct<{kind}>, lang_pred string, score double, known double")
     return judged.where((F.col("lang_pred") != UND) & (F.col("score") >= least) & (F.col("known") >= known)).select("row.*")
 

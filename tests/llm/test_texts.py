@@ -403,3 +403,17 @@ def test_training_against_a_plain_loop():
 
     grid = np.exp(np.linspace(np.log(0.1), np.log(10), 81))
     assert loss(model.temperature) <= min(map(loss, grid)) + 1e-6
+
+
+def test_accepted_sends_a_text_once(monkeypatch):
+    """The classifier reads the text of a row within the row, as it does a column of its own."""
+    import pyarrow as pa
+
+    from grafold.llm import language_id
+
+    model = language_id.fit(["hello world this is text"] * 10 + ["guten tag das ist ein satz"] * 10, ["en"] * 10 + ["de"] * 10)
+    texts = ["hello world", None, "", "guten tag", "7"] * 3
+    row = pa.StructArray.from_arrays([pa.array(range(15)), pa.array(texts)], ["doc_id", "text"])
+    apart, within = pa.RecordBatch.from_arrays([row, pa.array(texts)], ["row", "text"]), pa.RecordBatch.from_arrays([row], ["row"])
+    want, got = (list(language_id._predict(model, True)([b.slice(2)])) for b in (apart, within))
+    assert got == want and got[0].column("row").to_pylist() == row.slice(2).to_pylist()
