@@ -1,9 +1,11 @@
 """Jaccard join, line dedup and passages against brute force."""
 
 import hashlib
+import os
 import random
 import re
 import string
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -11,6 +13,7 @@ import pytest
 
 from grafold.llm import jaccard_join, line_dedup, passage_dedup
 from grafold.llm import textwords as T
+from grafold.operators import components
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -332,6 +335,46 @@ def test_recall_of_near_copies_and_of_repeats_with_shared_phrases(spark):
     assert sum(p not in pairs for p in near) <= 2
 
 
+def test_copies_stand_behind_the_smallest_document_of_their_text(spark):
+    rng = random.Random(31)
+    fresh = lambda n: ["w%d" % rng.randrange(10**7) for _ in range(n)]
+    passage, quoted, other = fresh(80), fresh(60), fresh(70)
+    text = " ".join(passage + quoted)
+    docs = [(i, text) for i in range(40)]
+    docs += [(40, text.replace(" ", "\n").upper()), (41, " ".join(fresh(20) + quoted + fresh(20))), (42, text + " more")]
+    # A document of several texts counts by the largest, so the copies of one of them do not stand behind it.
+    docs += [(50, "a " + " ".join(other)), (50, "b " + " ".join(fresh(60))), (51, "a " + " ".join(other)), (52, "a " + " ".join(other)), (60, "alone " + " ".join(fresh(60)))]
+    rows = passage_dedup.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()
+    places = {tuple(r)[:6] for r in rows}
+    assert len(places) == len(rows)
+    assert {r[:2] + r[3:] for r in ((r["doc_id"], r["start_word"], r["n_words"], r["match_doc_id"], r["match_start"]) for r in rows if r["doc_id"] in range(1, 41))} == {(i, 0, 0, 0) for i in range(1, 41)}
+    assert {p for p in places if p[0] == 0 and p[3] in range(1, 41)} == {(0, 0, 140, i, 0, 140) for i in range(1, 41)}
+    assert {p[0] for p in places if p[3] == 0} == set(range(1, 43)) and (41, 20, 60, 0, 80, 60) in places
+    assert {p[:4:3] for p in places if p[0] >= 50} == {(51, 52), (52, 51)}
+
+
+def test_no_shuffle_files_of_the_windows_stay(spark):
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(_slices(random.Random(5), 60, 0))], "doc_id long, text string").repartition(4)
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        found = disk.getAllFiles()
+        return {found.apply(i).getPath() for i in range(found.size()) if "shuffle_" in found.apply(i).getName()}
+
+    earlier = files()
+    passages = passage_dedup.repeated_passages(df)
+    kept = spark.range(100).repartition(2).groupBy("id").count()
+    assert kept.count() == 100
+    for _ in range(50):
+        size = sum(os.path.getsize(f) for f in files() - earlier if os.path.exists(f))
+        if size < 200_000:
+            break
+        time.sleep(0.1)
+    assert size < 200_000  # 60 documents have 14,000 windows and runs: 330,000 bytes and more
+    assert spark.conf.get(components.CLEANUP) == "false"
+    assert passages.count() and passages.count()
+
+
 def test_long_document_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(passage_dedup, "BLOCK", 512)
     monkeypatch.setattr(passage_dedup, "OVERLAP", 128)
