@@ -119,3 +119,25 @@ def test_pipeline_stages(spark, tmp_path):
 def test_registry():
     assert {int(q[2:].split("_")[0]) for q in QUERIES if q.startswith("op")} == set(range(1, 11)) and "pipeline" in QUERIES
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_stages_send_short_batches(spark):
+    """What a worker holds at once follows the batch, not the table."""
+    import corpus_pipeline
+
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    df = spark.createDataFrame([(i, "some words of text %d" % i, "en", "s", 20) for i in range(5000)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    before = spark.conf.get(rows)
+
+    def sizes(batches):
+        for batch in batches:
+            yield batch.slice(0, 1).select(["doc_id"]).set_column(0, "doc_id", pa.array([batch.num_rows]))
+
+    try:
+        for setting, most in (("10000", 1000), ("0", 1000), ("70", 70)):
+            for _, stage in corpus_pipeline.STAGES[1:4:2]:
+                spark.conf.set(rows, setting)
+                stage(spark, df, "/root/testdata/sf0.001")
+                assert max(r[0] for r in df.mapInArrow(sizes, "doc_id long").collect()) == most
+    finally:
+        spark.conf.set(rows, before)
