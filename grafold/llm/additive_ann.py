@@ -1,21 +1,24 @@
 """Approximate nearest neighbours by additive quantisation.
 
-A vector (scaled to length 1) is approximated by a sum of codewords, one from each codebook; all codewords
+A vector (scaled to length 1, less the sample's mean) is approximated by a sum of codewords, one from each codebook; all codewords
 have the full dimension. Codebooks start as k-means of successive residuals, or of the parts of a random
 rotation where the sample has fewer rows than residual codebooks have words or where that has the smaller
 error on held-out rows. They are refined on the bounded sample: beam-search encoding, then least squares
 for the codewords, in sweeps over the codebooks. There is one codebook for 8 dimensions (``LEAST_BOOKS``
 at least), so a code has a bit a dimension or more. Every row is encoded by beam search and stored with its
-codes and the squared norm of its approximation.
+codes, the squared norm of its approximation and the length of what that leaves of it.
 
 Rows lie in inverted lists by their nearest of a bounded number of centres, lists in blocks of about
 ``BLOCK`` rows. A query visits the ``probes`` nearest lists, a number measured on the sample: so many that
 ``REACHED`` of the true neighbours there lie in them (for vectors without any structure these are all
 lists). Queries and blocks meet in a cogroup by (list, block, block of queries); no query goes through the
 driver, and the plan is the same for any number of them. There a query scores the rows by table look-ups,
-2 <q, x~> - |x~|**2 being a sum of one table entry per code less the stored norm; the best ``SHARE`` of the
-block (``RERANK`` rows at least) are reranked by exact cosine on the original vectors, and the best few
-are merged over the blocks.
+<q, x~> being a sum of one table entry per code; |q - x~|**2 less the squared error of the row estimates the
+squared distance. The best ``SHARE`` of the block (``RERANK`` rows at least) are reranked by exact cosine on the
+original vectors, and with them every row whose estimate is not farther from the k-th best distance found than
+the codes may be wrong: twice distance times error times ``lean``, the cosine between an error and the way to
+the query that ``LEANING`` of the near pairs of the sample stay below. So rows that the codes cannot tell apart
+are all reranked, however many. The best few are merged over the blocks.
 
 Copies of one vector have one code, and ties keep the smallest vec_id, so any number of copies does no
 harm.
@@ -46,6 +49,10 @@ BLOCK, QUERY_BLOCK, LISTS = 8192, 8192, 1024
 SHARE, RERANK = 0.04, 64
 #: Share of the sample's true neighbours that the visited lists hold.
 REACHED = 0.97
+#: Share of the sample's near pairs that bounds how far an error leans towards a query, and near rows of each.
+LEANING, NEAR = 0.999, 64
+#: Rounding of an estimated squared distance, as a share of the squared lengths in it (single precision).
+ROUNDING = 4e-6
 
 
 class Quantiser:
@@ -191,6 +198,21 @@ def _probes(x: np.ndarray, centre: np.ndarray, k: int, share: float) -> int:
     return int(ranks[min(len(ranks) - 1, int(share * len(ranks)))]) + 1 if len(ranks) else len(centre)
 
 
+def _lean(x: np.ndarray, approx: np.ndarray) -> float:
+    """The cosine between the error of a row's approximation and the way from the row to a query near it that
+    ``LEANING`` of the pairs within a sample stay below; 1, which always holds, without pairs."""
+    rest = x - approx
+    error, found = np.sqrt((rest * rest).sum(axis=1)), []
+    norm = (x * x).sum(axis=1)
+    for i in range(0, len(x), max(1, len(x) // 256)):
+        at = np.argsort(norm - 2 * (x @ x[i]), kind="stable")[: NEAR + 1]
+        way = x[i] - x[at]
+        size = np.sqrt((way * way).sum(axis=1)) * error[at]
+        found.append((way * rest[at]).sum(axis=1)[size > 0] / size[size > 0])
+    found = np.concatenate(found)
+    return float(min(1.0, max(0.0, np.quantile(found, LEANING)))) if len(found) else 1.0
+
+
 def _finite(v: Column) -> Column:
     big = float("inf")
     return v.isNotNull() & F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < big)) & F.exists(v, lambda e: e != 0)
@@ -208,20 +230,22 @@ def _length(v: np.ndarray) -> np.ndarray:
     return top * np.sqrt(((v / top[..., None]) ** 2).sum(axis=-1))
 
 
-def _encoded(books: np.ndarray, centre: np.ndarray):
+def _encoded(books: np.ndarray, centre: np.ndarray, mean: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = Quantiser(books)
         for batch in batches:
             for part in (batch.slice(i, 4096) for i in range(0, batch.num_rows, 4096)):
                 v = _matrix(part.column("v"))
-                x = (v / _length(v)[:, None]).astype(np.float32)
-                codes, norm = q.encode(x)
+                unit = v / _length(v)[:, None]
+                x, y = unit.astype(np.float32), (unit - mean).astype(np.float32)
+                codes, norm = q.encode(y)
+                error = np.sqrt(((y - q.decode(codes)) ** 2).sum(axis=1))
                 raw = codes.tobytes()
                 m = codes.shape[1]
                 home = (x @ centre.T).argmax(axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("vec_id"), part.column("v"), pa.array([raw[i * m : (i + 1) * m] for i in range(len(codes))], pa.binary()), pa.array(norm, pa.float32()), pa.array(home, pa.int32())],
-                    ["vec_id", "v", "codes", "norm", "list"],
+                    [part.column("vec_id"), part.column("v"), pa.array([raw[i * m : (i + 1) * m] for i in range(len(codes))], pa.binary()), pa.array(norm, pa.float32()), pa.array(error, pa.float32()), pa.array(home, pa.int32())],
+                    ["vec_id", "v", "codes", "norm", "error", "list"],
                 )
 
     return run
@@ -242,7 +266,7 @@ def _asking(centre: np.ndarray, probes: int):
     return run
 
 
-def _search(books: np.ndarray, k: int, share: float, rerank: int):
+def _search(books: np.ndarray, mean: np.ndarray, lean: float, k: int, share: float, rerank: int):
     m = len(books)
 
     def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
@@ -254,20 +278,35 @@ def _search(books: np.ndarray, k: int, share: float, rerank: int):
             v, queries = _matrix(rows.column("v").combine_chunks()), _matrix(asked.column("q").combine_chunks())
             length, size = _length(v), _length(queries)
             codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(-1, m).astype(np.int64)
-            norm = rows.column("norm").to_numpy()[:, None]
+            norm, error = (rows.column(c).to_numpy() for c in ("norm", "error"))
             take = max(rerank, int(np.ceil(share * len(vec))))
             for a in range(0, len(ids), 64):
-                tables = np.ascontiguousarray(quantiser.tables(queries[a : a + 64] / size[a : a + 64, None]).transpose(1, 2, 0))
-                score = tables[0][codes[:, 0]]
+                part = (queries[a : a + 64] / size[a : a + 64, None] - mean).astype(np.float32)
+                tables = np.ascontiguousarray(quantiser.tables(part).transpose(1, 2, 0))
+                dots = tables[0][codes[:, 0]]
                 for j in range(1, m):
-                    score += tables[j][codes[:, j]]
-                score = np.ascontiguousarray((2 * score - norm).T)
-                score[vec[None, :] == ids[a : a + 64, None]] = -np.inf
-                for i in range(len(score)):
-                    at, q = _top(score[i], take), a + i
-                    # One row at a time is summed alike, wherever it stands, so equal vectors tie exactly.
-                    exact = (v[at] * queries[q]).sum(axis=1) / (length[at] * size[q])
-                    exact[vec[at] == ids[q]] = -np.inf
+                    dots += tables[j][codes[:, j]]
+                lengths = (part * part).sum(axis=1)[:, None] + norm
+                far = lengths - 2 * dots.T - error**2  # estimates of squared distances
+                far[vec[None, :] == ids[a : a + 64, None]] = np.inf
+                for i in range(len(far)):
+                    q = a + i
+
+                    def exact_of(at: np.ndarray) -> np.ndarray:
+                        # One row at a time is summed alike, wherever it stands, so equal vectors tie exactly.
+                        exact = (v[at] * queries[q]).sum(axis=1) / (length[at] * size[q])
+                        exact[vec[at] == ids[q]] = -np.inf
+                        return exact
+
+                    at = _top(-far[i], take)
+                    exact = exact_of(at)
+                    if len(at) < len(vec):
+                        kth = max(-1.0, np.sort(exact)[-k]) if len(at) >= k else -1.0
+                        reach = max(0.0, 2 - 2 * kth)
+                        near = far[i] <= reach + 2 * lean * np.sqrt(reach) * error + ROUNDING * (lengths[i] + error**2)
+                        near[at] = False
+                        more = np.flatnonzero(near)
+                        at, exact = np.concatenate([at, more]), np.concatenate([exact, exact_of(more)])
                     best = np.lexsort((vec[at], -exact))[:k]
                     best = best[np.isfinite(exact[best])]
                     for column, value in zip(out, (np.full(len(best), ids[q]), vec[at][best], exact[best]), strict=True):
@@ -317,8 +356,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float = S
     lists = max(1, min(lists or -(-rows.count() // BLOCK), LISTS, len(x) // 8))
     centre, _ = _centres(x.astype(np.float32), lists, np.random.default_rng(3), True)
     probes = _probes(x.astype(np.float32), centre, k, REACHED)
-    books = Quantiser.train(x).books
-    index = cut(rows.mapInArrow(_encoded(books, centre), "vec_id long, v array<double>, codes binary, norm float, list int"))
+    mean = x.mean(axis=0)
+    y = (x - mean).astype(np.float32)
+    quantiser = Quantiser.train(y)
+    books, lean = quantiser.books, _lean(y, quantiser.decode(quantiser.encode(y)[0]))
+    index = cut(rows.mapInArrow(_encoded(books, centre, mean), "vec_id long, v array<double>, codes binary, norm float, error float, list int"))
     asked = cut(usable(queries, x.shape[1]).mapInArrow(_asking(centre, probes), "query_id long, q array<double>, list int"))
     held, wanted = ({r["list"]: r["count"] for r in t.groupBy("list").count().collect()} for t in (index, asked))  # a row a list
     if not wanted:
@@ -328,7 +370,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float = S
     index = index.withColumn("rb", F.pmod(F.xxhash64("vec_id"), of_rows).cast("int")).withColumn("qb", every(of_queries))
     asked = asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), of_queries).cast("int")).withColumn("rb", every(of_rows))
     key = ["list", "rb", "qb"]
-    out = index.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(_search(books, k, share, rerank), schema)
+    out = index.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(_search(books, mean, lean, k, share, rerank), schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -67,6 +67,14 @@ def test_recall_of_clustered_vectors_in_few_lists(spark):
     assert _recall(spark, v, lists=30, train_rows=2000) >= 0.9
 
 
+@pytest.mark.parametrize(("groups", "noise"), [(4, 1e-3), (4, 1e-5), (1, 1e-3)])
+def test_recall_within_groups_of_nearly_equal_vectors(spark, groups, noise):
+    """More rows than are reranked at first lie nearer to each other than codes or single precision tell."""
+    rng = np.random.default_rng(3)
+    v = 10 * rng.normal(size=(groups, 32))[rng.integers(0, groups, 3000)] + 10 * noise * rng.normal(size=(3000, 32))
+    assert _recall(spark, v, train_rows=1000) >= 0.99
+
+
 def test_lists_and_queries_in_blocks(spark, monkeypatch):
     rng = np.random.default_rng(9)
     v = np.concatenate([rng.normal(size=(300, 16)), np.repeat(rng.normal(size=(1, 16)), 300, axis=0)])  # half are copies
