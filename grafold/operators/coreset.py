@@ -13,7 +13,8 @@ def induced_edges(coreset: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges among each trial's coreset: (trial, i, j, weight, wi, di, wj, dj), both directions."""
     a = coreset.select(F.col("trial"), F.col("node").alias("src"), F.col("ord").alias("i"), F.col("weight").alias("wi"), F.col("degree").alias("di"))
     b = coreset.select(F.col("trial"), F.col("node").alias("dst"), F.col("ord").alias("j"), F.col("weight").alias("wj"), F.col("degree").alias("dj"))
-    return symmetric(edges).join(a, "src").join(b, ["trial", "dst"]).select("trial", "i", "j", "weight", "wi", "di", "wj", "dj")
+    # No larger than the configuration says, so edges are not shuffled for it.
+    return symmetric(edges).join(F.broadcast(a), "src").join(F.broadcast(b), ["trial", "dst"]).select("trial", "i", "j", "weight", "wi", "di", "wj", "dj")
 
 
 def coreset_graph(coreset: DataFrame, edges: DataFrame, sigma: float) -> DataFrame:

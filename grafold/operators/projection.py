@@ -19,12 +19,13 @@ def project(query: DataFrame, labelled: DataFrame, edges: DataFrame, nodes: Data
     stats = centers(labelled, edges) if stats is None else stats
     mine = query.select("node").distinct().join(nodes.select("node", "degree"), "node")
     c = labelled.select("trial", F.col("node").alias("dst"), "label", F.col("weight").alias("w"), F.col("degree").alias("dc"))
-    hits = symmetric(edges).join(mine, F.col("src") == F.col("node")).join(c, "dst")
+    # The coreset's size is part of the configuration; of the edges only those that end in it are shuffled.
+    hits = symmetric(edges).join(F.broadcast(c), "dst").join(mine, F.col("src") == F.col("node"))
     scores = hits.groupBy("trial", "node", "label").agg(F.sum(F.col("w") * F.col("weight") / (F.col("degree") * F.col("dc"))).alias("ip"))
     least = stats.groupBy("trial").agg(F.min(F.struct("norm", "label")).alias("s")).select("trial", F.col("s.label").alias("s"), F.col("s.norm").alias("s_norm"))
-    near = scores.join(stats, ["trial", "label"]).where(F.col("norm") < float("inf")).withColumn("dist", F.col("norm") - 2 * F.col("ip") / F.col("denom"))
+    near = scores.join(F.broadcast(stats), ["trial", "label"]).where(F.col("norm") < float("inf")).withColumn("dist", F.col("norm") - 2 * F.col("ip") / F.col("denom"))
     best = near.groupBy("trial", "node").agg(F.min(F.struct("dist", "label")).alias("b"), F.collect_set("label").alias("hit"))
-    each = least.join(mine).join(best, ["trial", "node"], "left")
+    each = mine.join(F.broadcast(least)).join(best, ["trial", "node"], "left")
     s_unhit = ~F.coalesce(F.array_contains("hit", F.col("s")), F.lit(False))
     take_s = F.col("b").isNull() | (s_unhit & (F.col("s_norm") <= F.col("b.dist")))
     dist = F.when(take_s, F.col("s_norm")).otherwise(F.col("b.dist"))

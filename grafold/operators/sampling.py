@@ -124,8 +124,8 @@ def seed_schedule(edges: DataFrame, base: DataFrame, trials: DataFrame, seeds: i
         at += 2 * seeds + 16
         who = cands.select("trial", "node").distinct()
         other = who.select(F.col("trial").alias("t2"), F.col("node").alias("n2"))
-        among = sides.join(who, sides.src == who.node).select("trial", "src", "dst", "weight").join(other, (F.col("t2") == F.col("trial")) & (F.col("n2") == F.col("dst")))
-        rows = cands.join(mass, ["trial", "node"]).join(open_trials, "trial")
+        among = sides.join(F.broadcast(who), sides.src == who.node).select("trial", "src", "dst", "weight").join(F.broadcast(other), (F.col("t2") == F.col("trial")) & (F.col("n2") == F.col("dst")))
+        rows = mass.join(F.broadcast(cands), ["trial", "node"]).join(F.broadcast(open_trials), "trial")
         none = lambda kind: F.lit(None).cast(kind)
         c = rows.select("trial", F.lit("c").alias("kind"), "i", "node", none("long").alias("other"), F.col("f0").alias("value"), "degree", uniform("key", F.lit("keep"), "i").alias("u"))
         e = among.select("trial", F.lit("e").alias("kind"), none("int").alias("i"), F.col("src").alias("node"), F.col("dst").alias("other"), F.col("weight").alias("value"), none("double").alias("degree"), none("double").alias("u"))
@@ -147,10 +147,11 @@ def seed_schedule(edges: DataFrame, base: DataFrame, trials: DataFrame, seeds: i
 def seeded_state(edges: DataFrame, base: DataFrame, trials: DataFrame, schedule: DataFrame) -> DataFrame:
     """(trial, node, block, degree, f, owner) after all seeds: each node's smallest mass and the first seed that gave it."""
     seeds = schedule.groupBy("trial", F.col("node").alias("seed")).agg(F.min("step").alias("step"))
-    seeds = seeds.join(base.select(F.col("node").alias("seed"), F.col("degree").alias("seed_degree")), "seed")
-    offers = symmetric(edges).join(seeds, F.col("src") == F.col("seed")).groupBy("trial", F.col("dst").alias("node")).agg(F.min(F.struct((F.col("weight") / F.col("seed_degree")).alias("f"), "step", "seed")).alias("best"))
+    # Seeds are as many as the configuration says: neither edges nor masses are shuffled to meet them.
+    seeds = base.select(F.col("node").alias("seed"), F.col("degree").alias("seed_degree")).join(F.broadcast(seeds), "seed")
+    offers = symmetric(edges).join(F.broadcast(seeds), F.col("src") == F.col("seed")).groupBy("trial", F.col("dst").alias("node")).agg(F.min(F.struct((F.col("weight") / F.col("seed_degree")).alias("f"), "step", "seed")).alias("best"))
     own = seeds.select("trial", F.col("seed").alias("node"), F.lit(True).alias("is_seed"))
-    state = trials.select("trial").join(base).join(offers, ["trial", "node"], "left").join(own, ["trial", "node"], "left")
+    state = trials.select("trial").join(base).join(offers, ["trial", "node"], "left").join(F.broadcast(own), ["trial", "node"], "left")
     better = F.coalesce(F.col("best.f") < F.col("f0"), F.lit(False))
     return state.select(
         "trial",
@@ -166,7 +167,7 @@ def smoothed_mass(state: DataFrame) -> DataFrame:
     """Adds g = f / sum(f) + degree / (degree owned by the owner)."""
     owned = state.groupBy("trial", "owner").agg(F.sum("degree").alias("owned"))
     total = state.groupBy("trial").agg(F.sum("f").alias("total"))
-    return state.join(owned, ["trial", "owner"]).join(total, "trial").withColumn("g", F.when(F.col("total") > 0, F.col("f") / F.col("total")).otherwise(0.0) + F.col("degree") / F.col("owned"))
+    return state.join(F.broadcast(owned), ["trial", "owner"]).join(F.broadcast(total), "trial").withColumn("g", F.when(F.col("total") > 0, F.col("f") / F.col("total")).otherwise(0.0) + F.col("degree") / F.col("owned"))
 
 
 def coreset_draws(mass: DataFrame, trials: DataFrame, size: int) -> DataFrame:
@@ -177,7 +178,7 @@ def coreset_draws(mass: DataFrame, trials: DataFrame, size: int) -> DataFrame:
 
 def coreset_weights(draws: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     """(trial, ord, node, weight, degree): distinct nodes in the order of their first draws."""
-    each = draws.join(nodes.select("node", "degree"), "node")
+    each = nodes.select("node", "degree").join(F.broadcast(draws), "node")
     total = each.groupBy("trial", "node", "degree").agg(F.sum(F.col("degree") / (F.col("prob") * size)).alias("weight"), F.min("i").alias("first"))
     return total.select("trial", (F.row_number().over(Window.partitionBy("trial").orderBy("first")) - 1).alias("ord"), "node", "weight", "degree")
 

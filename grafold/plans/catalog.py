@@ -312,7 +312,7 @@ SAMPLER = (
 
 
 def _sampler(spark, sf) -> dict[str, DataFrame]:
-    g = _graph(spark, sf)
+    g = cut(_graph(spark, sf))  # read by each of the steps
     n = cut(updates.degrees(g))
     trials = sampling.trials_table(spark, SEED, TRIALS)
     base = sampling.base_mass(n, SIGMA)
